@@ -22,6 +22,8 @@ class Rule:
     kind: str = "pattern"
     # the pattern ends in an unbounded word run; Java may take that run without recursion
     open_run: bool = False
+    # body of a class with every character a match can begin with, where the pattern does not tell
+    first: str | None = None
 
 
 # Patterns that must find exactly what the reference finds. Shapes used by several
@@ -40,8 +42,8 @@ DOLLARS_LOOSE = r"\$[\d,]+\.?\d*"
 # Always-on rules.
 COMMON_RULES = (
     Rule("C01", r"\b[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9][\w.-]*\.[A-Za-z]{2,}\b", hints=("@",)),
-    Rule("C02", r"\b(?:\+?1[-.\s]?)?\(?(?:[2-9]\d{2})\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", soft="L", digit=True),
-    Rule("C03", r"\b\+?\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b", soft="L", digit=True),
+    Rule("C02", r"\b(?:\+?1[-.\s]?)?\(?(?:[2-9]\d{2})\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", soft="L", digit=True, first="+(0-9"),
+    Rule("C03", r"\b\+?\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b", soft="L", digit=True, first="+0-9"),
     Rule("C04", SSN, digit=True),
     Rule("C05", r"\b(?:SSN|SOCIAL\s*SECURITY|SOC\s*SEC)[\s:#]*(?:\d{3}[-\s]?\d{2}[-\s]?\d{4})\b",
          ignore_case=True, digit=True, hints=("ssn", "soc")),
@@ -122,7 +124,7 @@ MEDICAL_RULES = (
     Rule("M11", r"\b(?:POLICY|MEMBER|SUBSCRIBER)[\s:#]*(?:[A-Z0-9]{6,20})\b", ignore_case=True,
          hints=("policy", "member", "subscriber")),
     Rule("M12", r"\b(?:RX|PRESCRIPTION)[\s:#]*(?:[A-Z0-9]{6,15})\b", ignore_case=True, hints=("rx", "prescription")),
-    Rule("M13", PHONE_PLAIN, soft="L", digit=True),
+    Rule("M13", PHONE_PLAIN, soft="L", digit=True, first="(0-9"),
     Rule("M14", DATE_MDY, digit=True),
     Rule("M15", DATE_YMD, digit=True),
 )
@@ -156,7 +158,7 @@ EMPLOYMENT_RULES = (
     Rule("E10", r"\b\d{2}-\d{7}\b", digit=True),
     Rule("E11", r"\b(?:RATING|SCORE|PERFORMANCE)[\s:#]*(?:\d+(?:\.\d+)?(?:\s*/\s*\d+)?)\b", ignore_case=True,
          digit=True, hints=("rating", "score", "performance")),
-    Rule("E12", PHONE_PLAIN, soft="L", digit=True),
+    Rule("E12", PHONE_PLAIN, soft="L", digit=True, first="(0-9"),
     Rule("E13", r"\b(?:EMERGENCY|CONTACT)[\s:]+(?:[A-Z][a-z]+\s+[A-Z][a-z]+)\b", ignore_case=True,
          hints=("emergency", "contact")),
     Rule("E14", r"\b(?:HIRE|START|TERMINATION|REVIEW)\s*(?:DATE)?[\s:#]*(?:[\d/-]+)\b", ignore_case=True, soft="R",
@@ -221,7 +223,7 @@ _DOLLARS = r"\$[\d,]+(?:\.\d{2})?\b"
 
 FAST_RULES = (
     Rule("A01", _EMAIL, soft="LR", hints=("@",), kind="emails"),
-    Rule("A02", _PHONE_US, soft="L", digit=True, kind="phones"),
+    Rule("A02", _PHONE_US, soft="L", digit=True, first="+(0-9", kind="phones"),
     Rule("A03", SSN, digit=True, kind="ssn"),
     Rule("A04", CARD_4X4, digit=True, kind="creditCards"),
     Rule("A05", _DATE_ANY, ignore_case=True, digit=True, kind="dates"),
@@ -249,7 +251,7 @@ FAST_NAME_RULES = (
 # Rules of the deep scan.
 DEEP_RULES = (
     Rule("D01", _EMAIL, soft="LR", hints=("@",)),
-    Rule("D02", _PHONE_US, soft="L", digit=True),
+    Rule("D02", _PHONE_US, soft="L", digit=True, first="+(0-9"),
     Rule("D03", SSN, digit=True),
     Rule("D04", CARD_4X4, digit=True),
     Rule("D05", _DATE_ANY, ignore_case=True, digit=True),

@@ -15,14 +15,42 @@ from pyspark.sql import functions as F
 # Body of a character class holding every white-space character of ECMAScript.
 WS = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
-_NOT_AFTER_WORD = "(?<![0-9A-Za-z_])"
-_NOT_BEFORE_WORD = "(?![0-9A-Za-z_])"
-_TWO_WAY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# Java's \\w is ASCII and tested faster than the same class written out.
+_NOT_AFTER_WORD = r"(?<!\w)"
+_NOT_BEFORE_WORD = r"(?!\w)"
+_TWO_WAY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 _META = r"([.*+?^${}()|\[\]\\])"
 
 
-def java_regex(pattern: str, ignore_case: bool = False, soft: str = "LR", open_run: bool = False) -> str:
+def start_class(pattern: str, ignore_case: bool = False) -> str | None:
+    """Body of a character class holding every character a match can begin with, for simple openings.
+
+    Covers an opening digit, character class, literal word, or plain list of words; otherwise None.
+    """
+    rest = pattern.removeprefix("\\b")
+    if rest.startswith("([") :
+        rest = rest[1:]
+    if re.match(r"\\d(?![?*]|\{0)", rest):
+        return "0-9"
+    if m := re.match(r"\[([^\]\\^]+)\](?![?*]|\{0)", rest):
+        return m[1].upper() + m[1].lower() if ignore_case else m[1]
+    words = re.match(r"\(\?:([^()]*)\)(?![?*]|\{0)", rest)
+    alternatives = words[1].split("|") if words else [rest]
+    begins = set()
+    for word in alternatives:
+        if re.match(r"[0-9]|\[[0-9-]+\]|\\d", word):
+            begins.add("0-9")
+        elif re.match(r"[A-Za-z](?![?*]|\{0)", word):
+            begins.update({word[0].upper(), word[0].lower()} if ignore_case else word[0])
+        else:
+            return None
+    return "".join(sorted(begins))
+
+
+def java_regex(
+    pattern: str, ignore_case: bool = False, soft: str = "LR", open_run: bool = False, first: str | None = None
+) -> str:
     """Translate a portable pattern to Java.
 
     ``soft`` names the sides whose boundary may touch a non-word character ("L", "R", "LR" or "").
@@ -63,7 +91,10 @@ def java_regex(pattern: str, ignore_case: bool = False, soft: str = "LR", open_r
     java = "".join(out)
     if open_run:
         java = re.sub(r"\)([+*])\)$", r")\1+)", java)
-    return ("(?i)" if ignore_case else "") + java
+    # Most positions cannot begin a match; one class test turns them away before the boundary tests.
+    begin = first or start_class(pattern, ignore_case)
+    ahead = f"(?=[{begin}])" if begin and "|\\b" not in pattern else ""
+    return ahead + ("(?i)" if ignore_case else "") + java
 
 
 def re2_regex(pattern: str, ignore_case: bool = False) -> str:

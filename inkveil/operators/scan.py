@@ -36,7 +36,7 @@ def drop_gates(docs: DataFrame) -> DataFrame:
 
 def rule_matches(rule: Rule, text: str = "text", gated: bool = True) -> Column:
     """All non-overlapping matches of one rule, left to right."""
-    pattern = java_regex(rule.pattern, rule.ignore_case, rule.soft, rule.open_run)
+    pattern = java_regex(rule.pattern, rule.ignore_case, rule.soft, rule.open_run, rule.first)
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(rule.group))
     if not gated:
         return found

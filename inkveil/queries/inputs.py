@@ -14,6 +14,7 @@ from inkveil.functions.dialect import collapse_ws
 from inkveil.functions.text import let
 from inkveil.operators.entities import drop_trivial
 from inkveil.operators.scan import fast_rule_findings
+from inkveil.sources.files import spread
 
 _YEAR = "cast(1950 + o_orderkey % 70 as string)"
 _MONTH = "lpad(cast(1 + o_orderkey % 12 as string), 2, '0')"
@@ -57,11 +58,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select((-1 - F.col("o_orderkey")).alias("doc_id"), F.expr(RECORD_TEXT).alias("text"))
+    return orders(spark, sf).select((-1 - F.col("o_orderkey")).alias("doc_id"), F.expr(RECORD_TEXT).alias("text"))
 
 
 def all_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,10 +76,10 @@ def all_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations with their turns as pages, and customers with their records as pages."""
-    talk = table(spark, sf, "conversations").select(
+    talk = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text")).select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), collapse_ws(F.col("text")).alias("text")
     )
-    forms = table(spark, sf, "orders").select(
+    forms = orders(spark, sf).select(
         (-1 - F.col("o_custkey")).alias("doc_id"),
         F.col("o_orderkey").alias("page_no"),
         F.expr(RECORD_TEXT).alias("text"),

@@ -13,6 +13,16 @@ from inkveil.operators.sequence import ordered_concat
 PAGES_PER_PART = 10_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a table read from fewer splits than there are cores, before work bound by the processor.
+
+    Only for frames that are plain scans. Large inputs have far more splits than cores and stay as they
+    are: nothing is shuffled for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files, one row each: path, text."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
