@@ -22,6 +22,11 @@ class Rule:
     kind: str = "pattern"
     # the pattern ends in an unbounded word run; Java may take that run without recursion
     open_run: bool = False
+    # Java only: an equivalent of the pattern that loops where the plain one would recurse per repetition
+    java: str | None = None
+    # Java only: text to step over when the pattern fails here, because it would then fail at every later
+    # start inside that text too. Keeps long runs linear; both sides see the same matches.
+    barren: str | None = None
     # body of a class with every character a match can begin with, where the pattern does not tell
     first: str | None = None
 
@@ -39,9 +44,17 @@ DATE_YMD = r"\b(?:19|20)\d{2}[/-](?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])\
 DATE_LOOSE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 DOLLARS_LOOSE = r"\$[\d,]+\.?\d*"
 
+_MAIL_RUN = r"\b[A-Za-z0-9][\w.%+-]*+"
+_STREET_RUN = r"\d++\s++[\w\s]*+"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\."
+# From one place where a top-level domain may end the match to the next, as often as possible.
+_DOMAIN_LOOP = (
+    rf"\b(?:(?:{_LABEL}(?![a-z]{{2,6}}\b))*+{_LABEL}(?=[a-z]{{2,6}}\b))++[a-z]{{2,6}}\b"
+)
+
 # Always-on rules.
 COMMON_RULES = (
-    Rule("C01", r"\b[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9][\w.-]*\.[A-Za-z]{2,}\b", hints=("@",)),
+    Rule("C01", r"\b[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9][\w.-]*\.[A-Za-z]{2,}\b", hints=("@",), barren=_MAIL_RUN),
     Rule("C02", r"\b(?:\+?1[-.\s]?)?\(?(?:[2-9]\d{2})\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", soft="L", digit=True, first="+(0-9"),
     Rule("C03", r"\b\+?\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b", soft="L", digit=True, first="+0-9"),
     Rule("C04", SSN, digit=True),
@@ -60,7 +73,8 @@ COMMON_RULES = (
     Rule("C15", POSTCODE_UK, digit=True),
     Rule("C16", r"https?://(?:www\.)?[-\w@:%.+~#=]{1,256}\.[a-z]{2,6}\b(?:[-\w@:%+.~#?&/=]*)",
          ignore_case=True, hints=("http",)),
-    Rule("C17", r"\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}\b", ignore_case=True, hints=(".",)),
+    Rule("C17", r"\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,6}\b", ignore_case=True, hints=(".",),
+         java=_DOMAIN_LOOP, barren=rf"\b(?:{_LABEL})++"),
     Rule("C18", r"\$\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", digit=True, hints=("$",)),
     Rule("C19", r"£\s?\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", digit=True, hints=("£",)),
     Rule("C20", r"€\s?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{2})?\b", digit=True, hints=("€",)),
@@ -136,7 +150,8 @@ LEGAL_RULES = (
     Rule("L04", r"\bDocket\s*(?:No\.?|#)\s*[\w-]+", ignore_case=True, hints=("docket",)),
     Rule("L05", DATE_LOOSE, digit=True),
     Rule("L06", r"\d+\s+[\w\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct)\.?",
-         ignore_case=True, digit=True),
+         ignore_case=True, digit=True, barren=_STREET_RUN,
+         hints=("st", "av", "road", "rd", "boulevard", "blvd", "dr", "lane", "ln", "court", "ct")),
     Rule("L07", ZIP_US, digit=True),
 )
 
@@ -182,7 +197,8 @@ IDENTITY_RULES = (
     Rule("I11", r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d{2}\b", digit=True),
     Rule("I12", DATE_YMD, digit=True),
     Rule("I13", r"\b\d+\s+[\w\s]+(?:Street|St\.|Avenue|Ave\.|Road|Rd\.|Boulevard|Blvd\.|Drive|Dr\.|Lane|Ln\.|Court"
-                r"|Ct\.|Way|Place|Pl\.)(?:[\s,]+[\w\s]+)?\b", ignore_case=True, soft="R", digit=True),
+                r"|Ct\.|Way|Place|Pl\.)(?:[\s,]+[\w\s]+)?\b", ignore_case=True, soft="R", digit=True, barren=r"\b" + _STREET_RUN,
+         hints=("st", "av", "road", "rd.", "boulevard", "blvd", "dr", "lane", "ln.", "court", "ct.", "way", "pl")),
     Rule("I14", ZIP_US, digit=True),
     Rule("I15", POSTCODE_CA, digit=True),
     Rule("I16", POSTCODE_UK, digit=True),
@@ -209,6 +225,7 @@ INSURANCE_RULES = (
 
 # Rules of the fast scan; ``kind`` is the entity type they report.
 _EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+_EMAIL_RUN = r"\b[A-Za-z0-9._%+-]++"
 _PHONE_US = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 _DATE_ANY = (
     r"\b(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{2}[-/]\d{2}"
@@ -222,7 +239,7 @@ _IPV4_LOOSE = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 _DOLLARS = r"\$[\d,]+(?:\.\d{2})?\b"
 
 FAST_RULES = (
-    Rule("A01", _EMAIL, soft="LR", hints=("@",), kind="emails"),
+    Rule("A01", _EMAIL, soft="LR", hints=("@",), kind="emails", barren=_EMAIL_RUN),
     Rule("A02", _PHONE_US, soft="L", digit=True, first="+(0-9", kind="phones"),
     Rule("A03", SSN, digit=True, kind="ssn"),
     Rule("A04", CARD_4X4, digit=True, kind="creditCards"),
@@ -250,7 +267,7 @@ FAST_NAME_RULES = (
 
 # Rules of the deep scan.
 DEEP_RULES = (
-    Rule("D01", _EMAIL, soft="LR", hints=("@",)),
+    Rule("D01", _EMAIL, soft="LR", hints=("@",), barren=_EMAIL_RUN),
     Rule("D02", _PHONE_US, soft="L", digit=True, first="+(0-9"),
     Rule("D03", SSN, digit=True),
     Rule("D04", CARD_4X4, digit=True),
@@ -263,6 +280,6 @@ DEEP_RULES = (
 
 # Rules of the superseded first version, kept for comparison runs.
 LEGACY_RULES = (
-    Rule("Z01", r"\b[\w.-]+@[\w.-]+\.\w{2,4}\b", soft="L", hints=("@",), kind="emails"),
+    Rule("Z01", r"\b[\w.-]+@[\w.-]+\.\w{2,4}\b", soft="L", hints=("@",), kind="emails", barren=r"\b[\w.-]++"),
     Rule("Z02", r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", digit=True, kind="phones"),
 )

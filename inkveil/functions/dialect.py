@@ -119,7 +119,7 @@ def any_case(text: Column) -> Column:
 
 def strip_ws(text: Column) -> Column:
     """Trim ECMAScript white space (Spark's ``trim`` only removes blanks)."""
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(text, rf"^[{WS}]+|(?<![{WS}])[{WS}]++\z", "")
 
 
 def collapse_ws(text: Column) -> Column:

@@ -36,8 +36,12 @@ def drop_gates(docs: DataFrame) -> DataFrame:
 
 def rule_matches(rule: Rule, text: str = "text", gated: bool = True) -> Column:
     """All non-overlapping matches of one rule, left to right."""
-    pattern = java_regex(rule.pattern, rule.ignore_case, rule.soft, rule.open_run, rule.first)
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(rule.group))
+    pattern = java_regex(rule.java or rule.pattern, rule.ignore_case, rule.soft, rule.open_run, rule.first)
+    if rule.barren:
+        either = f"({pattern})|{java_regex(rule.barren, rule.ignore_case, rule.soft)}"
+        found = F.array_remove(F.regexp_extract_all(F.col(text), F.lit(either), F.lit(1)), "")
+    else:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(rule.group))
     if not gated:
         return found
     gate = F.col(_DIGIT) if rule.digit else F.lit(True)
@@ -85,7 +89,7 @@ def count_rules(docs: DataFrame, rules: Iterable[Rule], text: str = "text") -> D
     )
 
 
-def _concat(parts: Sequence[Column]) -> Column:
+def concat_arrays(parts: Sequence[Column]) -> Column:
     return F.flatten(F.array(*parts)) if parts else F.expr(_EMPTY)
 
 
@@ -213,21 +217,25 @@ def pattern_findings(
     presets: Iterable[str] = (), custom: Sequence[str] = (), text: str = "text"
 ) -> Column:
     """Ordered distinct findings of the pattern scan (needs :func:`with_gates` columns)."""
-    common = F.transform(_concat([rule_matches(r, text) for r in COMMON_RULES]), strip_ws)
+    common = F.transform(concat_arrays([rule_matches(r, text) for r in COMMON_RULES]), strip_ws)
     names = F.filter(
-        _concat([rule_matches(r, text) for r in NAME_RULES]),
+        concat_arrays([rule_matches(r, text) for r in NAME_RULES]),
         lambda n: (F.length(n) > 3) & ~is_common_word(n),
     )
     parts = [common, names]
+    # The result is a set: a preset's rule that repeats an earlier pattern cannot add anything.
+    done = {(r.pattern, r.ignore_case) for r in COMMON_RULES}
     for preset in known_presets(presets):
-        if preset.rules:
-            raw = _concat([rule_matches(r, text) for r in preset.rules])
+        fresh = [r for r in preset.rules if (r.pattern, r.ignore_case) not in done]
+        done.update((r.pattern, r.ignore_case) for r in fresh)
+        if fresh:
+            raw = concat_arrays([rule_matches(r, text) for r in fresh])
             parts.append(F.transform(F.filter(raw, lambda m: F.length(m) >= 3), strip_ws))
         if preset.keywords:
             parts.append(keyword_values(preset.keywords, text))
     if custom:
         parts.append(custom_hits(custom, text))
-    return F.filter(F.array_distinct(_concat(parts)), lambda t: F.length(strip_ws(t)) >= 2)
+    return F.filter(F.array_distinct(concat_arrays(parts)), lambda t: F.length(strip_ws(t)) >= 2)
 
 
 def scan_pattern_arrays(
@@ -284,7 +292,7 @@ def tagged_matches(rules: Sequence[Rule], score: float, source: str, first_seq:
             ),
         )
 
-    return _concat([tagged(r, first_seq + n) for n, r in enumerate(rules)])
+    return concat_arrays([tagged(r, first_seq + n) for n, r in enumerate(rules)])
 
 
 def fast_rule_findings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -305,7 +313,7 @@ def fast_rule_findings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text:
 
 def deep_rule_array(text: str = "text") -> Column:
     """Ordered distinct matches of the deep scan's rules (needs gate columns)."""
-    return F.array_distinct(F.transform(_concat([rule_matches(r, text) for r in DEEP_RULES]), strip_ws))
+    return F.array_distinct(F.transform(concat_arrays([rule_matches(r, text) for r in DEEP_RULES]), strip_ws))
 
 
 def scan_deep_rules(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
