@@ -17,3 +17,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder all executors see, below the one the cluster names for checkpoints."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a shared folder, or name a path explicitly")
+    return f"{root.rstrip('/')}/{name}"

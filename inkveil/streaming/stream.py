@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from inkveil.operators.scan import scan_pattern_arrays
 from inkveil.plans.redaction import redact_documents
+from inkveil.session import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema: str = "doc_id bigint, text string", max_files: int = 64) -> DataFrame:
@@ -28,8 +29,12 @@ def redact_stream(docs: DataFrame, presets: Sequence[str] = (), custom: Sequence
     )
 
 
-def write_stream(redacted: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append to a table, exactly once; ends when the present input is used up."""
+def write_stream(redacted: DataFrame, target: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Append to a table, exactly once; ends when the present input is used up.
+
+    Without a path of its own the progress is kept below the cluster's shared checkpoint folder.
+    """
+    checkpoint = checkpoint or shared_folder(redacted.sparkSession, "redact_stream")
     return (
         redacted.writeStream.format("parquet")
         .option("path", target)
