@@ -20,10 +20,15 @@ FIELDS = (*ORDER, "text", "score", "type", "source")
 PER_LIST_PAGE = 17
 
 
+def is_trivial(text: Column) -> Column:
+    """At most one character, or only digits and spaces."""
+    t = strip_ws(text)
+    return (F.length(t) <= 1) | t.rlike(rf"^[\d{WS}]+\z")
+
+
 def drop_trivial(findings: DataFrame) -> DataFrame:
-    """Cleanup of the fast scan: no texts of at most one character, none of only digits and spaces."""
-    t = strip_ws(F.col("text"))
-    return findings.where((F.length(t) > 1) & ~t.rlike(rf"^[\d{WS}]+\z"))
+    """Cleanup of the fast scan."""
+    return findings.where(~is_trivial(F.col("text")))
 
 
 def keep_first_text(findings: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -276,41 +276,56 @@ def explode_findings(docs: DataFrame, keys: Sequence[str], array: str = "finding
 # --- rule parts of the model scans ------------------------------------------------------------------
 
 
+def finding(family: int, seq: Column, pos: Column, text: Column, score: float | None, kind: str, source: str) -> Column:
+    return F.struct(
+        F.lit(family).alias("family"),
+        seq.cast("bigint").alias("seq"),
+        pos.cast("bigint").alias("pos"),
+        text.alias("text"),
+        F.lit(score).cast("double").alias("score"),
+        F.lit(kind).alias("type"),
+        F.lit(source).alias("source"),
+    )
+
+
 def tagged_matches(rules: Sequence[Rule], score: float, source: str, first_seq: int, text: str = "text") -> Column:
-    """array<struct<seq,pos,text,score,type,source>> of the given rules, in rule order."""
+    """Array of findings of the given rules, in rule order."""
 
     def tagged(rule: Rule, seq: int) -> Column:
         return F.transform(
-            rule_matches(rule, text),
-            lambda m, i: F.struct(
-                F.lit(seq).cast("bigint").alias("seq"),
-                (i + 1).cast("bigint").alias("pos"),
-                m.alias("text"),
-                F.lit(score).alias("score"),
-                F.lit(rule.kind).alias("type"),
-                F.lit(source).alias("source"),
-            ),
+            rule_matches(rule, text), lambda m, i: finding(1, F.lit(seq), i + 1, m, score, rule.kind, source)
         )
 
     return concat_arrays([tagged(r, first_seq + n) for n, r in enumerate(rules)])
 
 
-def fast_rule_findings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """Findings of the fast scan's rules and name heuristics, one row per match, before dedup.
-
-    ``family, seq, pos`` order them within a document: the rules, then the heuristics."""
-    both = F.concat(
+def fast_rule_array(text: str = "text") -> Column:
+    """Findings of the fast scan's rules, then of its name heuristics, before cleanup and dedup."""
+    return F.concat(
         tagged_matches(FAST_RULES, 0.95, "regex", 0, text),
         tagged_matches(FAST_NAME_RULES, 0.85, "heuristic", len(FAST_RULES), text),
     )
+
+
+def plain_findings(texts: Column, family: int, score: float | None, kind: str, source: str) -> Column:
+    """Findings from an ordered array of texts."""
+    return F.transform(texts, lambda t, i: finding(family, F.lit(0), i + 1, t, score, kind, source))
+
+
+def finding_rows(docs: DataFrame, keys: Sequence[str], findings: Column, text: str = "text") -> DataFrame:
+    """One row per finding. ``findings`` may combine several scans: the texts are read once for all."""
     return (
-        with_gates(docs.select(*keys, text), text)
-        .select(*keys, F.inline_outer(both))
+        with_gates(docs, text)
+        .select(*keys, F.inline_outer(findings))
         .where(F.col("pos").isNotNull())
-        .select(*keys, F.lit(1).alias("family"), "seq", "pos", "text", "score", "type", "source")
+        .select(*keys, "family", "seq", "pos", "text", "score", "type", "source")
     )
 
 
+def fast_rule_findings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    return finding_rows(docs.select(*keys, text), keys, fast_rule_array(text), text)
+
+
 def deep_rule_array(text: str = "text") -> Column:
     """Ordered distinct matches of the deep scan's rules (needs gate columns)."""
     return F.array_distinct(F.transform(concat_arrays([rule_matches(r, text) for r in DEEP_RULES]), strip_ws))

@@ -156,7 +156,7 @@ def llm_prompt(spark, sf):
 @query
 def scan_deep(spark, sf):
     pages = I.all_pages(spark, sf)
-    return P.deep_findings(I.replies(pages), I.tokens(pages), PAGE_KEYS)
+    return P.scan_deep(I.replies(pages), I.tokens(pages), PAGE_KEYS)
 
 
 @query
