@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkveil.catalog.dictionaries import PRESETS, Preset
 from inkveil.catalog.rules import COMMON_RULES, DEEP_RULES, FAST_NAME_RULES, FAST_RULES, NAME_RULES, Rule
 from inkveil.functions.dialect import escape_literal_py, java_regex, strip_ws
-from inkveil.functions.text import is_common_word, parse_reply, reply_says_nothing
+from inkveil.functions.text import is_common_word, let, parse_reply, reply_says_nothing
 
 WINDOW_CHARS = 100
 # Value after a keyword: past the first ':' or '=' (or line end), 2 to 50 characters up to , ; or line end.
@@ -177,23 +177,50 @@ def scan_keyword_windows(
     docs: DataFrame, presets: Iterable[str], keys: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """One row per keyword occurrence with its window and the value read from it (NULL if rejected)."""
+
+    def read(hit: Column) -> Column:
+        def value(window: Column) -> Column:
+            return let(
+                window_value(window),
+                lambda v: F.struct(
+                    window.alias("window"), F.when(keep_value(v, hit["keyword"]), v).alias("value")
+                ),
+            )
+
+        return F.struct(hit["keyword"].alias("keyword"), F.transform(hit["windows"], value).alias("found"))
+
+    # Values are read inside the arrays: a filter on a value then stays above the explode.
     per_preset = F.array(
         *[
-            F.struct(F.lit(p.preset_id).alias("preset"), keyword_hits(p.keywords, text).alias("hits"))
+            F.struct(F.lit(p.preset_id).alias("preset"), F.transform(keyword_hits(p.keywords, text), read).alias("hits"))
             for p in known_presets(presets)
             if p.keywords
         ]
     )
-    value = window_value(F.col("window"))
     return (
         with_gates(docs.select(*keys, text), text)
         .select(*keys, F.inline(per_preset))
         .select(*keys, "preset", F.inline("hits"))
-        .select(*keys, "preset", "keyword", F.posexplode("windows").alias("pos", "window"))
-        .withColumn("pos", F.col("pos") + 1)
-        .withColumn("value", value)
-        .withColumn("value", F.when(keep_value(F.col("value"), F.col("keyword")), F.col("value")))
+        .select(*keys, "preset", "keyword", F.posexplode("found").alias("pos", "f"))
+        .select(*keys, "preset", "keyword", (F.col("pos") + 1).alias("pos"), "f.window", "f.value")
+    )
+
+
+def count_keywords(docs: DataFrame, presets: Iterable[str], text: str = "text") -> DataFrame:
+    """Keyword occurrences per preset."""
+    per_preset = F.array(
+        *[
+            F.struct(
+                F.lit(p.preset_id).alias("preset"),
+                F.aggregate(
+                    keyword_hits(p.keywords, text), F.lit(0).cast("bigint"), lambda n, h: n + F.size(h["windows"])
+                ).alias("n"),
+            )
+            for p in known_presets(presets)
+            if p.keywords
+        ]
     )
+    return with_gates(docs.select(text), text).select(F.inline(per_preset)).groupBy("preset").agg(F.sum("n").alias("n_hits"))
 
 
 def join_keywords(docs: DataFrame, keywords: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:

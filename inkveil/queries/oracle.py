@@ -350,7 +350,7 @@ def oracle() -> dict[str, str]:
         f"({lit(p.preset_id)}, {lit(p.name)}, {lit(p.description)}, {len(p.rules)}, {len(p.keywords)}, {n})"
         for n, p in enumerate(PRESETS.values())
     )
-    sql["preset_catalog_usage"] = f"""WITH {ALL_DOCS}, used AS (SELECT part, count(*) AS n FROM ({keyword_rows('all_docs', 'doc_id', numbered)}) GROUP BY part)
+    sql["preset_catalog"] = f"""WITH {ALL_DOCS}, used AS (SELECT part, count(*) AS n FROM ({keyword_rows('all_docs', 'doc_id', numbered)}) GROUP BY part)
       SELECT preset_id, name, description, n_rules::BIGINT AS n_rules, n_keywords::BIGINT AS n_keywords, coalesce(n, 0) AS n_hits
       FROM (VALUES {table}) t(preset_id, name, description, n_rules, n_keywords, part) LEFT JOIN used USING (part)"""
     ids = "[" + ", ".join(lit(i) for i in ("tax-form", "education", *ALL_PRESETS)) + "]"
@@ -398,7 +398,7 @@ def oracle() -> dict[str, str]:
       cut AS (SELECT doc_id, k, string_split_regex(t, re) AS g, regexp_extract_all(t, re) AS x FROM h)
       SELECT doc_id, replace(array_to_string(list_transform(g, lambda y, i: y || CASE WHEN i <= len(x) THEN
         '<mark class="text-highlight-' || CASE WHEN list_contains(k, lower(x[i])) THEN 'auto' ELSE 'manual' END || '">' || x[i] || '</mark>' ELSE '' END), ''), chr(10), '<br>') AS html FROM cut"""
-    sql["redact_documents_query"] = f"""WITH {WITH_TARGETS},
+    sql["redact_documents"] = f"""WITH {WITH_TARGETS},
       t AS (SELECT doc_id, text, unnest(list_concat(auto, manual)) AS target FROM aimed),
       u AS (SELECT DISTINCT doc_id, target FROM t WHERE regexp_matches(target, '\\S')),
       c AS (SELECT doc_id, {collapse('target')} AS target FROM u),

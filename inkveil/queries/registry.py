@@ -58,7 +58,8 @@ def query(fn: Query) -> Query:
         ]
         return df.select(*wide)
 
-    QUERIES[fn.__name__] = run
+    # a query may share its name with the function it shows
+    QUERIES[fn.__name__.removesuffix("_query")] = run
     return run
 
 
@@ -177,9 +178,8 @@ def scan_offline(spark, sf):
 
 
 @query
-def preset_catalog_usage(spark, sf):
-    hits = S.scan_keyword_windows(I.all_docs(spark, sf), ALL_PRESETS)
-    used = hits.groupBy("preset").agg(F.count(F.lit(1)).alias("n_hits"))
+def preset_catalog_query(spark, sf):
+    used = S.count_keywords(I.all_docs(spark, sf), ALL_PRESETS)
     return (
         preset_catalog(spark)
         .join(used, F.col("preset") == F.col("preset_id"), "left")

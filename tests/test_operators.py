@@ -10,7 +10,7 @@ from inkveil.functions.dialect import any_case, collapse_ws, strip_ws
 from inkveil.operators import entities as E
 from inkveil.operators import mask as M
 from inkveil.operators import scan as S
-from inkveil.operators.ner import merge_tokens
+from inkveil.operators.ner import merge_tokens, tag_documents
 from inkveil.operators.sequence import number_rows
 from inkveil.plans import scan as P
 
@@ -56,6 +56,19 @@ def test_merge_across_buckets(spark, bucket):
     assert sorted((r.text, r.type, r.score) for r in got) == brute_merge(rows)
 
 
+def test_tagger_plug_in(spark):
+    def tagger(batches):
+        import pandas as pd
+
+        for docs in batches:
+            rows = [(d, i, "B-PER" if w[0].isupper() else "O", w, 0.9)
+                    for d, t in zip(docs.doc_id, docs.text) for i, w in enumerate(t.split())]
+            yield pd.DataFrame(rows, columns=["doc_id", "idx", "entity", "word", "score"])
+
+    docs = spark.createDataFrame([(1, "then Ann met Bo")], "doc_id long, text string")
+    assert sorted(r.text for r in merge_tokens(tag_documents(docs, tagger)).collect()) == ["Ann", "Bo"]
+
+
 # --- order-dependent helpers --------------------------------------------------------------------------
 
 
