@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-_WORDS = "list_filter(string_split_regex({}, '[ \\t-\\r]+'), x -> x <> '')"
+_WORDS = "list_filter(string_split_regex({}, '[ \\t-\\r]+'), lambda x: x <> '')"
 
 NEAR_DEDUP = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), i -> array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) > 0),
 e AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
@@ -21,8 +21,8 @@ d AS (SELECT doc_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM docu
 b AS (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark),
 dp AS (SELECT doc_id, w, m, offs, unnest(range(0, len(w) - span + 1)) AS p FROM d, masks),
 bp AS (SELECT item_id, w, m, offs, unnest(range(0, len(w) - span + 1)) AS q FROM b, masks),
-hits AS (SELECT DISTINCT doc_id, item_id, p, q FROM (SELECT doc_id, p, m, list_transform(offs, o -> w[p + o + 1]) AS key FROM dp)
-  JOIN (SELECT item_id, q, m, list_transform(offs, o -> w[q + o + 1]) AS key FROM bp) USING (m, key)),
+hits AS (SELECT DISTINCT doc_id, item_id, p, q FROM (SELECT doc_id, p, m, list_transform(offs, lambda o: w[p + o + 1]) AS key FROM dp)
+  JOIN (SELECT item_id, q, m, list_transform(offs, lambda o: w[q + o + 1]) AS key FROM bp) USING (m, key)),
 steps AS (SELECT doc_id, item_id, p, q, d.w AS dw, b.w AS bw,
   unnest(range(greatest(q - 64, 0, q - p), least(q + 74, len(b.w), q - p + len(d.w)))) AS k
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
