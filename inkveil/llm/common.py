@@ -41,16 +41,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``_row``, the whole input row, so that other columns cannot clash."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-
-
 def text_key(text: Column) -> Column:
     """With ``doc_id``, names a document: rows equal in both count as one document and share its result."""
     return F.xxhash64(text)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``_row``, the whole input row, and its document's name in ``_id`` and ``_key``: no other column can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), text_key(F.col("text")).alias("_key"))
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, _key) is not in ``bad``; a null doc_id is a name as well."""
+    gone = bad.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    rows = keyed(docs)
+    return unpacked(rows.join(gone, rows["_id"].eqNullSafe(gone["_d"]) & (rows["_key"] == gone["_k"]), "left_anti"), docs.columns)
+
+
 def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
     """The input columns back out of ``_row``, some with new values."""
     return df.select(*[changed.get(c, F.col("_row").getField(c)).alias(c) for c in columns])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import keyed, let, text_key, unpacked, words
+from inkveil.llm.common import text_key, without, words
 
 # 1: the word counts, 0: any word. Two masks of weight six that share few positions when shifted.
 MASKS = ("11011011", "1101001101")
@@ -105,7 +105,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    rows = keyed(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_k"))
-    return unpacked(rows.join(bad, same, "left_anti"), docs.columns)
+    return without(docs, overlaps(docs, benchmark))

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import keyed, let, stored, unpacked, words
+from inkveil.llm.common import let, stored, text_key, without, words
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     return docs.select(
-        "doc_id", "lang", "source", F.xxhash64("text").alias("_key"), counted.alias("_w"), line_counts.alias("_l"),
+        "doc_id", "lang", "source", text_key(F.col("text")).alias("_key"), counted.alias("_w"), line_counts.alias("_l"),
         F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
     ).select(
@@ -192,7 +192,4 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with their columns."""
-    bad = judge(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct()
-    rows = keyed(docs)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_k"))
-    return unpacked(rows.join(bad, same, "left_anti"), docs.columns)
+    return without(docs, judge(docs).where("not kept"))
