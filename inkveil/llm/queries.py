@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontamination, line_dedup, near_dedup, packing, quality
+from inkveil.llm import decontamination, line_dedup, near_dedup, packing, quality, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_key")
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.without_repeats(table(spark, sf, "documents")))
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = line_dedup.deduplicated(table(spark, sf, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -47,5 +51,6 @@ QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_near_dedup": op4_near_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
