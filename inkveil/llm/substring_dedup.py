@@ -82,29 +82,50 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+ROWS = 200_000  # per batch that a task hands on
+
+
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts: list[tuple] = []
+    held = 0
+
+    def frame() -> pd.DataFrame:
+        docs = np.repeat(np.arange(len(parts)), [len(x[2]) for x in parts])
+        d, k, n = (np.array([x[i] for x in parts], np.int64)[docs] for i in (0, 1, 5))
+        at, h, c = (np.concatenate([x[i] for x in parts]) for i in (2, 3, 4))
+        left, right = np.minimum(at, REACH).astype(np.int8), np.minimum(n - at, LENGTH).astype(np.int8)
+        return pd.DataFrame({"hash": h.view(np.int64), "context": c.view(np.int64), "d": d, "k": k, "pos": at, "left": left, "right": right})
+
     for batch in batches:
         for d, k, text in zip(batch["d"], batch["k"], batch["text"]):
             raw = _bytes(text)
             if len(raw) >= LENGTH:
-                at, h, c = anchors(raw)
-                yield pd.DataFrame({
-                    "hash": h.view(np.int64), "context": c.view(np.int64), "d": d, "k": k, "pos": at,
-                    "left": np.minimum(at, REACH).astype(np.int8), "right": np.minimum(len(raw) - at, LENGTH).astype(np.int8),
-                })
+                parts.append((d, k, *anchors(raw), len(raw)))
+                held += len(parts[-1][2])
+            if held >= ROWS:
+                yield frame()
+                parts, held = [], 0
+    if parts:
+        yield frame()
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The surroundings of listed anchors, the anchor always at the same place."""
+    names = ["hash", "d", "k", "pos", "left", "right", "bytes"]
+    rows: list[tuple] = []
     for batch in batches:
         for d, k, text, places in zip(batch["d"], batch["k"], batch["text"], batch["places"]):
             raw = _bytes(text).tobytes()
-            rows = []
             for p in places:
-                part = raw[max(0, p["pos"] - REACH) : p["pos"] + LENGTH]
-                left = min(p["pos"], REACH)
-                rows.append((p["hash"], d, k, p["pos"], left, len(part) - left, (bytes(REACH - left) + part).ljust(REACH + LENGTH, b"\0")))
-            yield pd.DataFrame(rows, columns=["hash", "d", "k", "pos", "left", "right", "bytes"])
+                pos = p["pos"]
+                part = raw[max(0, pos - REACH) : pos + LENGTH]
+                left = min(pos, REACH)
+                rows.append((p["hash"], d, k, pos, left, len(part) - left, (bytes(REACH - left) + part).ljust(REACH + LENGTH, b"\0")))
+            if len(rows) >= ROWS // 10:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
 
 
 def repeated_starts(group: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray) -> np.ndarray:
