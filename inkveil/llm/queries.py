@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontamination, line_dedup, near_dedup, packing, quality, substring_dedup
+from inkveil.llm import decontamination, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), TOKENIZER)
 
 
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.span_report(table(spark, sf, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
 
@@ -49,6 +53,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_personal_data": op3_personal_data,
     "op4_near_dedup": op4_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
