@@ -47,4 +47,19 @@ SELECT cut.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls), 0) - coale
   CASE WHEN ls IS NOT NULL THEN sha256(coalesce(out.text, '')) END AS text_sha256 FROM cut LEFT JOIN out USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_near_dedup": NEAR_DEDUP, "op6_decontamination": DECONTAMINATION, "op9_line_dedup": LINE_DEDUP}
+CHAT_COLLAPSE = """
+WITH c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id),
+p AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)),
+m AS (SELECT min(conv_id) AS conv_id, l FROM c WHERE l NOT IN (SELECT l FROM p) GROUP BY l),
+t AS (SELECT conv_id, len(l) AS n, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM m)
+SELECT conv_id, i // 1000 AS segment, n AS n_turns,
+  string_agg('<|' || coalesce(x.r, '') || '|>' || chr(10) || coalesce(x.t, '') || chr(10) || '<|end|>' || chr(10), '' ORDER BY i) AS text
+FROM t GROUP BY ALL
+"""
+
+SQL: dict[str, str] = {
+    "op8_chat_collapse": CHAT_COLLAPSE,
+    "op4_near_dedup": NEAR_DEDUP,
+    "op6_decontamination": DECONTAMINATION,
+    "op9_line_dedup": LINE_DEDUP,
+}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontamination, line_dedup, near_dedup, packing, personal_data, quality, substring_dedup
+from inkveil.llm import chat, decontamination, language, line_dedup, near_dedup, packing, personal_data, quality, secrets, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan(table(spark, sf, "documents")).drop("masked")
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document and benchmark item that stands in it."""
     return decontamination.overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("_key")
@@ -45,17 +49,28 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.without_repeats(table(spark, sf, "documents")))
 
 
+def op8_chat_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.render(table(spark, sf, "conversations"))
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = line_dedup.deduplicated(table(spark, sf, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_personal_data": op3_personal_data,
     "op4_near_dedup": op4_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_chat_collapse": op8_chat_collapse,
     "op9_line_dedup": op9_line_dedup,
+    "op10_language_id": op10_language_id,
 }
