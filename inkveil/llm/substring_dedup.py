@@ -82,7 +82,7 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-ROWS = 200_000  # per batch that a task hands on
+ROWS = 100_000  # per batch that a task hands on
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,18 +178,23 @@ def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The 100-byte strings around an anchor by two hashes."""
+    """The 100-byte strings around an anchor by two hashes, from prefix sums of all rows at once."""
+    width = REACH + LENGTH
+    up, down = _powers(_BASE, width + 1), _powers(_INVERSE, width + 1)
+    offsets = np.arange(REACH + 1)
+    at = REACH - offsets
     for batch in batches:
-        for r in batch.itertuples():
-            raw = np.frombuffer(r.bytes, np.uint8)
-            offsets = np.arange(max(0, LENGTH - r.right), r.left + 1)
-            if len(offsets):
-                at = REACH - offsets
-                one, two = Bytes(raw), Bytes(raw ^ np.uint8(0x5A))
-                yield pd.DataFrame({
-                    "hash": one.hashes(at, at + LENGTH).view(np.int64), "context": two.hashes(at, at + LENGTH).view(np.int64),
-                    "d": r.d, "k": r.k, "pos": r.pos - offsets,
-                })
+        for part in (batch.iloc[i : i + 2000] for i in range(0, len(batch), 2000)):
+            raw = np.frombuffer(b"".join(part["bytes"]), np.uint8).reshape(-1, width)
+            fits = (part["left"].to_numpy()[:, None] >= offsets) & (part["right"].to_numpy()[:, None] >= LENGTH - offsets)
+            names = []
+            for data in (raw, raw ^ np.uint8(0x5A)):
+                sums = np.zeros((len(raw), width + 1), np.uint64)
+                np.cumsum(_BYTE[data] * up[:width], axis=1, out=sums[:, 1:])
+                names.append(mixed((sums[:, at + LENGTH] - sums[:, at]) * down[at])[fits].view(np.int64))
+            row, offset = np.nonzero(fits)
+            d, k, pos = (part[c].to_numpy()[row] for c in _PLACE)
+            yield pd.DataFrame({"hash": names[0], "context": names[1], "d": d, "k": k, "pos": pos - offset})
 
 
 def _after() -> Column:
@@ -199,30 +204,26 @@ def _after() -> Column:
 def repeated_ranges(texts: DataFrame) -> DataFrame:
     """d, k, start, end: byte ranges to remove, overlapping. ``texts``: d, k, text."""
     rows = texts.mapInPandas(_anchor_rows, "hash long, context long, d long, k long, pos long, left byte, right byte")
-    groups = rows.groupBy("hash").agg(F.min(F.struct(*_PLACE)).alias("first"), F.min_by("context", F.struct(*_PLACE)).alias("_context"), F.count(F.lit(1)).alias("n"))
-    shared = stored(rows.join(groups.where("n > 1").drop("n"), "hash"), "lpf-anchors")
-    reached = F.col("left") + F.col("right").cast("int") >= LENGTH
+    often = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    shared = stored(rows.join(often, "hash"), "lpf-anchors")
+    firsts = stored(shared.groupBy("hash", "context").agg(F.min(F.struct(*_PLACE)).alias("first")), "lpf-firsts")
     whole = [F.col("d"), F.col("k"), (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")]
-    as_first = F.col("context") == F.col("_context")
-    done = shared.where(as_first & _after() & reached).select(*whole)
-
-    other = shared.where(~as_first)
-    firsts = other.groupBy("hash", "context").agg(F.min(F.struct(*_PLACE)).alias("first"))
-    again = other.drop("first", "_context").join(firsts, ["hash", "context"]).where(_after() & reached).select(*whole)
-    leaders = other.select("hash", "first").distinct()
-    edges = firsts.select("hash", "first.*").union(leaders.select("hash", "first.*"))
-    sizes = edges.groupBy("hash").count()
-    edges = stored(edges.join(sizes, "hash"), "lpf-edges")
+    reached = F.col("left") + F.col("right").cast("int") >= LENGTH
+    done = shared.join(firsts, ["hash", "context"]).where(_after() & reached).select(*whole)
+
+    sizes = firsts.groupBy("hash").count().where("count > 1")
+    edges = stored(firsts.join(sizes, "hash").select("hash", "first.*", "count"), "lpf-edges")
     # A document's own anchors: fewer than its bytes.
     wanted = edges.groupBy("d", "k").agg(F.collect_list(F.struct("hash", "pos")).alias("places"))
     cut = texts.join(wanted, ["d", "k"]).mapInPandas(_cut, "hash long, d long, k long, pos long, left int, right int, bytes binary")
     cut = stored(cut.join(sizes, "hash").distinct(), "lpf-surroundings")
     few = cut.where(F.col("count") <= IN_TASK).repartition("hash").sortWithinPartitions("hash", *_PLACE)
     ordered = few.mapInPandas(_ordered, "d long, k long, start long, end long")
-    strings = cut.where(F.col("count") > IN_TASK).mapInPandas(_strings, "hash long, context long, d long, k long, pos long")
+    crowded = cut.where(F.col("count") > IN_TASK).select("d", "k", "pos", "left", "right", "bytes").repartition("d", "pos")
+    strings = stored(crowded.mapInPandas(_strings, "hash long, context long, d long, k long, pos long"), "lpf-strings")
     earliest = strings.groupBy("hash", "context").agg(F.min(F.struct(*_PLACE)).alias("first"))
     many = strings.join(earliest, ["hash", "context"]).where(_after()).select("d", "k", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    return done.union(again).union(ordered).union(many)
+    return done.union(ordered).union(many)
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
