@@ -33,7 +33,7 @@ LENGTH = 2048
 NEARLY_FULL = 2044
 FAN_IN = 4
 BINS_PER_TASK = 1_000_000
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_200_000
 END = np.zeros(1, "<u4").tobytes()
 # White space of Unicode, as the vocabulary's own pattern cuts it (fixed values).
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
