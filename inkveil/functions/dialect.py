@@ -117,6 +117,14 @@ def any_case(text: Column) -> Column:
     return F.concat(F.lit("(?iu)"), escape_literal(text))
 
 
+def fold(text: Column) -> Column:
+    """One form for all letter cases, never narrower than ``(?iu)``: if a literal matches in any case, its fold is
+    contained in the fold of the text. Lower-casing alone depends on the neighbours (final sigma)."""
+    apart = F.translate(text, "\u1e9e\u0130", "\u00dfi")  # capital sharp s and dotted capital i change length
+    # The translation in between also keeps the optimizer from dropping the upper-casing under the lower-casing.
+    return F.translate(F.lower(F.translate(F.upper(apart), "\u03c2", "\u03c3")), "\u03c2\u0131", "\u03c3i")
+
+
 def strip_ws(text: Column) -> Column:
     """Trim ECMAScript white space (Spark's ``trim`` only removes blanks)."""
     return F.regexp_replace(text, rf"^[{WS}]+|(?<![{WS}])[{WS}]++\z", "")

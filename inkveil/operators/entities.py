@@ -121,9 +121,10 @@ def add_manual(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_
 
 
 def undo_manual(manual: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Remove the entity added last in each document."""
-    last = manual.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    return manual.join(last, [*keys, "seq"], "left_anti")
+    """Remove the entity added last in each document: the last of the last batch, where there are batches."""
+    place = [c for c in ("batch", "seq") if c in manual.columns]
+    last = manual.groupBy(*keys).agg(F.max(F.struct(*place)).alias("_last")).select(*keys, "_last.*")
+    return manual.join(last, [*keys, *place], "left_anti")
 
 
 def remove(entities: DataFrame, removed: DataFrame, keys: Sequence[str] = ("doc_id", "ord")) -> DataFrame:

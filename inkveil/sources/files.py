@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from inkveil.functions.dialect import collapse_ws, strip_ws
 from inkveil.operators.sequence import ordered_concat
 
-PAGES_PER_PART = 10_000
-
 
 def spread(df: DataFrame) -> DataFrame:
     """Even out a table read from fewer splits than there are cores, before work bound by the processor.
@@ -49,15 +47,10 @@ def assemble_pages(items: DataFrame) -> DataFrame:
     return joined.select("doc_id", "page_no", collapse_ws(F.col("text")).alias("text"))
 
 
-def assemble_documents(pages: DataFrame, pages_per_part: int = PAGES_PER_PART) -> DataFrame:
-    """Document text from its pages, a blank line between them, with the page count.
-
-    An ordinary document is one row with part_no 0. One beyond ``pages_per_part`` pages comes in several
-    parts, as a single cell could not hold it; their page counts add up to the document's.
-    """
-    parts = pages.withColumn("part_no", F.floor(F.col("page_no") / pages_per_part))
-    joined = ordered_concat(parts, ["doc_id", "part_no"], "page_no", "text", "\n\n")
-    return joined.select("doc_id", "part_no", strip_ws(F.col("text")).alias("text"), F.col("n_parts").alias("page_count"))
+def assemble_documents(pages: DataFrame) -> DataFrame:
+    """Document text from its pages, a blank line between them, with the page count: one row per document."""
+    joined = ordered_concat(pages, ["doc_id"], "page_no", "text", "\n\n")
+    return joined.select("doc_id", F.lit(0).cast("long").alias("part_no"), strip_ws(F.col("text")).alias("text"), F.col("n_parts").alias("page_count"))
 
 
 def count_pages(pages: DataFrame) -> DataFrame:

@@ -280,3 +280,16 @@ def test_target_list(spark):
 def test_preview_cut(spark):
     assert one(spark, T.preview(F.lit("x" * 5001), F.lit("y" * 10))) == "y" * 10 + "..."
     assert one(spark, T.ellipsis(F.lit("abcdef"), 3)) == "abc..."
+
+
+def test_targets_are_covered_in_every_letter_case(spark):
+    cases = [("ΟΔΟΣΑ x", "ΟΔΟΣ"), ("ΟΔΟΣ", "οδος"), ("Straße", "STRAẞE"), ("İzmir", "izmir"), ("ſecret", "SECRET"), ("5 \u212a", "5 k")]
+    df = spark.createDataFrame([(i, t, [x]) for i, (t, x) in enumerate(cases)], "i int, t string, x array<string>")
+    spans = df.select("i", M.all_spans(F.col("t"), F.col("x")).alias("s"), M.count_leaks(F.col("t"), F.col("x")).alias("n")).orderBy("i").collect()
+    assert [(len(r.s), r.n) for r in spans] == [(1, 1)] * len(cases)
+
+
+def test_undo_takes_back_the_last_batch_first(spark):
+    old = spark.createDataFrame([(1, i, t) for i, t in enumerate("abc")], "doc_id int, seq int, text string")
+    new = spark.createDataFrame([(1, 0, "d")], "doc_id int, seq int, text string")
+    assert sorted(r.text for r in E.undo_manual(E.add_manual(old, new)).collect()) == ["a", "b", "c"]
