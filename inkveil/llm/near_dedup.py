@@ -37,7 +37,9 @@ REGISTERS, BANDS = 128, 32
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 PERCENT = 85
 DOUBT = 0.16  # five standard errors of the estimate at 0.85
+STEP = 1e-5
 BLOCK = 512
+PAIRS_PER_TASK = 50_000_000
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -67,9 +69,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(value, 0, TOP + 1).astype(np.uint16).reshape(n, REGISTERS)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity per row from the numbers of larger, smaller and equal registers."""
-    more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
+def _likelihood(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
+    """The log-likelihood of a similarity per row, from the numbers of larger, smaller and equal registers; and its upper end."""
+    more, less = np.count_nonzero(a > b, axis=1), np.count_nonzero(a < b, axis=1)
     same = a.shape[1] - more - less
     u = size_a / (size_a + size_b)
     v = 1.0 - u
@@ -80,7 +82,13 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
         up, down = part(u - v * j), part(v - u * j)
         return more * np.log(np.maximum(up, tiny)) + less * np.log(np.maximum(down, tiny)) + same * np.log(np.maximum(1 - up - down, tiny))
 
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return likelihood, np.minimum(u / v, v / u)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity per row."""
+    likelihood, high = _likelihood(a, b, size_a, size_b)
+    low = np.zeros(len(high))
     for _ in range(30):  # the likelihood has one maximum
         one, two = low + (high - low) / 3, high - (high - low) / 3
         left = likelihood(one) > likelihood(two)
@@ -88,6 +96,13 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
     return (low + high) / 2
 
 
+def likely(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether the estimate reaches ``PERCENT`` less ``DOUBT``: as there is one maximum, the likelihood then still rises there."""
+    likelihood, high = _likelihood(a, b, size_a, size_b)
+    at = np.full(len(high), PERCENT / 100 - DOUBT)
+    return (high >= at) & (likelihood(at + STEP) >= likelihood(at - STEP))
+
+
 def _registers(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint16).reshape(-1, REGISTERS)
 
@@ -130,7 +145,7 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             na, nb = batch["na"].to_numpy(float), batch["nb"].to_numpy(float)
-            good = similarity(_registers(batch["ra"]), _registers(batch["rb"]), na, nb) >= PERCENT / 100 - DOUBT
+            good = likely(_registers(batch["ra"]), _registers(batch["rb"]), na, nb)
             yield batch.loc[good, ["a", "b"]]
 
 
@@ -145,8 +160,7 @@ def _block_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else True)]
         y = y[np.minimum(n[y], n[x]) * 100 >= PERCENT * np.maximum(n[y], n[x])]
         if len(y):
-            s = similarity(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
-            y = y[s >= PERCENT / 100 - DOUBT]
+            y = y[likely(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])]
             found.append(pd.DataFrame({"a": np.minimum(ids[y], ids[x]), "b": np.maximum(ids[y], ids[x])}))
     return pd.concat(found) if found else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
@@ -192,16 +206,20 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
     labels = components(first)
     marked = classes.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     in_bands = bands.join(marked.select("id", "component"), "id")
-    mixed_up = (
+    mixed_up = stored(
         in_bands.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
         .where("low <> high")
-        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "size"),
+        "dedup-mixed",
     )
-    spread = in_bands.join(mixed_up, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    pairs = mixed_up.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0
+    # As many tasks as there is work: the rows are small, so that their bytes would say too little.
+    tasks = max(int(mixed_up.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs / 2 / PAIRS_PER_TASK))
+    spread = in_bands.join(mixed_up.drop("size"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
     dealt = dealt.join(classes.select("id", "n", "regs"), "id")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
+    rest = dealt.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
     second = confirmed(stored(rest, "dedup-rest"), docs)
     return first.union(second)
 
