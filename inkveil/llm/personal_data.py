@@ -1,18 +1,22 @@
 """Personal data and the terms that give it away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by patterns; they are the protected entities.
-How much a term tells about an entity is estimated from the corpus: with document counts n(c), n(t), n(c,t)
-(t close to c) and N, the pointwise mutual information PMI(c;t) = log n(c,t) N / (n(c) n(t)) is at most the
-information IC(c) = log N / n(c) of the entity, and equal to it where the term never occurs without the entity.
-A term beside an entity whose PMI reaches GENERALISE of IC is generalised, from REMOVE of it removed. Two
-different texts must bear the evidence, so a copied document is none.
+How much a term tells about an entity is estimated from the corpus: with counts of documents n(c), n(t), n(c,t)
+(both anywhere in the text) and N, the pointwise mutual information PMI(c;t) = log n(c,t) N / (n(c) n(t)) is at most
+the information IC(c) = log N / n(c) of the entity, and equal to it where the term never occurs without the entity.
+A term whose PMI reaches GENERALISE of IC is generalised, from REMOVE of it removed, wherever it stands in the
+documents that hold the entity. Two different texts must bear the evidence, so a copied document is none.
 
-DataFrame expressions only; texts are read twice (entities, document frequencies). Only entities with the words
-around them and partial counts are shuffled; a frequent term or entity is pre-aggregated, and joins meet
-aggregated rows. Positions are code points.
+As n(c,t) is at most n(c), a term with n(t) > N^(1 - GENERALISE) n(c)^GENERALISE cannot reach the share, nor can a
+term or an entity of one document have two texts: both are left out before terms meet entities, and nothing is lost.
+
+DataFrame expressions only; texts are read twice (entities, document frequencies). Only texts that hold an entity
+of several texts, their words, and partial counts are shuffled; a frequent term or entity is pre-aggregated.
+Positions are code points.
 
 Defined results: a null text is empty; entities are compared by kind and exact text; rows equal in doc_id and text
-get equal spans; an empty table gives an empty result.
+get equal spans and count in N and in every n alike; words inside an entity count as words of the text, but no term
+is marked that overlaps an entity; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from inkveil.llm.common import keyed, let, stored, text_key, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = len(KINDS)
-NEAR = 60  # code points on either side of an entity in which terms are looked for
 GENERALISE, REMOVE = 0.8, 0.95
 MIN_TEXTS = 2
 # Runs are entered at their start (or where the last match ended) and never given back, so long runs stay linear.
@@ -45,9 +48,9 @@ def _sum(values: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before, after) of all matches; before and after are the texts between matches.
+    """Array of (start, end, value) of all matches.
 
-    The gaps come from a split. Running sums are taken over blocks, so no array is copied once per match.
+    The gaps between them come from a split. Running sums are taken over blocks, so no array is copied once per match.
     """
     def placed(found: Column, gaps: Column) -> Column:
         steps = F.transform(found, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))
@@ -61,8 +64,7 @@ def matches(text: Column, pattern: str) -> Column:
                 def row(v: Column, i: Column) -> Column:
                     b = F.floor(i / _BLOCK).cast("int")
                     start = F.get(o, b) + _sum(F.slice(s, b * _BLOCK + 1, i - b * _BLOCK)) + F.length(F.get(gaps, i))
-                    return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"),
-                                    F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after"))
+                    return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
 
                 return F.transform(found, row)
 
@@ -70,7 +72,7 @@ def matches(text: Column, pattern: str) -> Column:
 
         return let(steps, with_sums)
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda g: placed(f, g))))
 
@@ -93,60 +95,82 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _entities(text: Column) -> Column:
-    """Array of (start, kind, end, value, left, right): all entities with the text close by."""
+    """Array of (start, kind, end, value): all entities."""
     def of(number: int, kind: str) -> Column:
         hint = text.contains(HINTS[kind]) if HINTS[kind] else text.rlike("[0-9]")
         good = F.filter(matches(F.when(hint, text).otherwise(""), PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
         return F.transform(good, lambda m: F.struct(
             m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"), m["value"].alias("value"),
-            F.right(m["before"], F.lit(NEAR)).alias("left"), F.left(m["after"], F.lit(NEAR)).alias("right"),
         ))
 
     return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
 
-def _terms(e: Column) -> Column:
-    """Array of (term, start, end) in the words beside an entity; words cut by the edge are left out."""
-    size = F.length(e["left"])
-    left = F.filter(matches(e["left"], _WORD), lambda m: (m["start"] > 0) | (size < NEAR))
-    right = F.filter(matches(e["right"], _WORD), lambda m: (m["end"] < NEAR))
-    at = lambda m, base: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"))
-    return F.concat(F.transform(left, lambda m: at(m, e["start"] - size)), F.transform(right, lambda m: at(m, e["end"])))
-
-
-def disclosing(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """(kind, value, term, removed): terms that tell too much about an entity. ``near``: doc, _key, kind, value, term."""
-    entity = ["kind", "value"]
-    total = F.lit(docs.count()).cast("double")
-    with_term = near.groupBy(*entity, "term", "_key", "doc_id").agg(F.lit(1).alias("one"))
-    pairs = with_term.groupBy(*entity, "term", "_key").agg(F.count("one").alias("n"))
-    pairs = pairs.groupBy(*entity, "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    entities = near.select(*entity, "_key", "doc_id").distinct().groupBy(*entity).agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    frequency = words.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    known = pairs.join(entities, entity).join(frequency, "term")
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
+    return F.array_distinct(F.transform(found, lambda v: F.lower(v)))
+
+
+def _reach(n_entity: Column, total: float) -> Column:
+    """No term of more documents reaches GENERALISE with an entity of ``n_entity``; a little more, for rounding."""
+    return F.pow(F.lit(total), F.lit(1 - GENERALISE)) * F.pow(n_entity.cast("double"), F.lit(GENERALISE)) * (1 + 1e-9)
+
+
+def _holders(found: DataFrame, total: float) -> DataFrame:
+    """(_doc, _key, kind, value, n, n_entity): documents and those of their entities that several texts hold; n: its rows."""
+    distinct = F.array_distinct(F.transform("e", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+    each = found.where("size(e) > 0").select("_doc", "_key", F.explode(distinct).alias("c"))
+    each = each.groupBy("_doc", "_key", "c.kind", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    per_text = each.groupBy("kind", "value", "_key").agg(F.sum("n").alias("n"))
+    entities = per_text.groupBy("kind", "value").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
+    return each.join(entities.where((F.col("texts") >= MIN_TEXTS) & (F.col("n_entity") < total)).drop("texts"), ["kind", "value"])
+
+
+def _together(holders: DataFrame, held: DataFrame, docs: DataFrame, total: float) -> DataFrame:
+    """(_doc, _key, kind, value, term, n, n_entity, n_term): documents that hold both, where the term may tell enough."""
+    most = holders.agg(F.max("n_entity")).first()[0] or 0
+    words = docs.select(F.explode_outer(_terms(F.col("text"))).alias("term")).where("term is not null")
+    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    rare = frequency.where((F.col("n_term") >= MIN_TEXTS) & (F.col("n_term") <= _reach(F.lit(most), total)))
+    terms = held.select("_doc", "_key", F.explode_outer(_terms(F.col("text"))).alias("term")).where("term is not null").join(rare, "term")
+    return terms.join(holders, ["_doc", "_key"]).where(F.col("n_term") <= _reach(F.col("n_entity"), total))
+
+
+def disclosing(together: DataFrame, total: float) -> DataFrame:
+    """(kind, value, term, removed): terms that tell too much about an entity."""
+    pair = ["kind", "value", "term"]
+    per_text = together.groupBy(*pair, "n_entity", "n_term", "_key").agg(F.sum("n").alias("n"))
+    pairs = per_text.groupBy(*pair, "n_entity", "n_term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"))
     share = F.log(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term"))) / F.log(total / F.col("n_entity"))
-    return known.where(F.col("n_entity") < total).withColumn("share", share).where(F.col("share") >= GENERALISE).select(
-        *entity, "term", (F.col("share") >= REMOVE).alias("removed")
-    )
+    known = pairs.where(F.col("texts") >= MIN_TEXTS).withColumn("share", share)
+    return known.where(F.col("share") >= GENERALISE).select(*pair, (F.col("share") >= REMOVE).alias("removed"))
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """doc_id, _key, base (start, kind, end) and terms (start, kind, end, removed), both sorted; a row per distinct document."""
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))  # only beside _key, the text: equal texts get equal spans
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("_key"))
-    found = stored(rows.select("doc_id", "_key", _entities(F.col("text")).alias("e")), "pii-entities").dropDuplicates(["doc_id", "_key"])
-    beside = found.where("size(e) > 0").select("doc_id", "_key", F.explode("e").alias("e")).select(
-        "doc_id", "_key", "e.kind", "e.value", F.explode(_terms(F.col("e"))).alias("t")
-    )
-    near = stored(beside.select("doc_id", "_key", "kind", "value", "t.*"), "pii-terms")
-    telling = stored(disclosing(near, docs), "pii-disclosing")
-    hits = near.join(telling, ["kind", "value", "term"]).groupBy("doc_id", "_key", "start", "end").agg(F.max("removed").alias("removed"))
+    with_text = let(_entities(F.col("text")), lambda e: F.struct(e.alias("e"), F.when(F.size(e) > 0, F.col("text")).alias("text")))
+    found = stored(rows.select("doc_id", "_key", with_text.alias("f")).select("doc_id", "_key", "f.*"), "pii-entities")
+    named = found.withColumn("_doc", doc)
+    total = float(docs.count())
+    holders = stored(_holders(named, total), "pii-holders")
+    texts = named.where("text is not null").select("_doc", "_key", "text")
+    held = texts.join(holders.select("_doc", "_key"), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
+    together = stored(_together(holders, held, docs, total), "pii-terms")
+    telling = stored(disclosing(together, total), "pii-disclosing")
+    told = together.join(telling, ["kind", "value", "term"]).groupBy("_doc", "_key", "term").agg(F.max("removed").alias("removed"))
+    told = stored(told, "pii-told")
+    placed = texts.join(told.select("_doc", "_key"), ["_doc", "_key"], "left_semi").dropDuplicates(["_doc", "_key"])
+    placed = placed.select("_doc", "_key", F.explode_outer(matches(F.col("text"), _WORD)).alias("m")).where("m is not null")
+    hits = placed.select("_doc", "_key", F.lower("m.value").alias("term"), "m.start", "m.end").join(told, ["_doc", "_key", "term"])
     span = F.struct("start", F.lit(TERM).alias("kind"), "end", "removed")
     # A document's own findings: never more than its text holds.
-    per_document = hits.groupBy(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).agg(F.sort_array(F.collect_list(span)).alias("terms"))
+    per_document = hits.groupBy(F.col("_doc").alias("_d"), F.col("_key").alias("_k")).agg(F.sort_array(F.collect_list(span)).alias("terms"))
     base = F.sort_array(F.transform("e", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    out = found.select("doc_id", "_key", base.alias("base"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    out = named.select("doc_id", "_doc", "_key", base.alias("base")).dropDuplicates(["doc_id", "_key"])
+    same = (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k"))
     clear = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     return out.join(per_document, same, "left").select("doc_id", "_key", "base", F.filter("terms", clear).alias("terms"))
 

@@ -141,6 +141,43 @@ def test_telling_terms(spark):
     assert text[10] == rows[3][1]
 
 
+def test_telling_terms_of_whole_texts(spark):
+    far = " and many more words" * 20
+    rows = [(i, f"note {i} of mail ann@x.org{far} the Zebrafish project{far} zebrafish {i * 7}") for i in range(3)]
+    rows += [(3, f"quagga near ann@x.org{far} 3"), (4, f"ann@x.org{far} quagga then quagga{far} 4"), (5, f"bob@y.org zebu{far}"), (5, f"bob@y.org zebu{far}")]
+    rows += [(None, f"eve@z.org{far} okapi"), (6, f"eve@z.org{far} okapi {far}"), (6, f"eve@z.org{far} okapi {far}"), (7, None)]
+    rows += [(10 + i, f"the project of note number {i} of mail{far}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    word = lambda t: {w for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower())}
+    mails = [set(re.findall(r"[a-z]+@[a-z.]+", t or "")) for _, t in rows]
+    marked = collections.defaultdict(set)
+    for c in set().union(*mails):
+        has_c = [c in m for m in mails]
+        for t in set().union(*map(word, (t for _, t in rows))):
+            has_t = [t in word(x) for _, x in rows]
+            both = [a and b for a, b in zip(has_c, has_t)]
+            if len({x for (_, x), g in zip(rows, both) if g}) >= 2:
+                share = np.log(sum(both) * len(rows) / (sum(has_c) * sum(has_t))) / np.log(len(rows) / sum(has_c))
+                if share >= personal_data.GENERALISE:
+                    for r, g in zip(rows, both):
+                        if g:
+                            marked[r].add(t)
+    assert {"zebrafish"} <= marked[rows[0]] and "quagga" in marked[rows[4]] and "okapi" in marked[rows[7]] and not marked[rows[5]]
+    got = [(r["doc_id"], r["spans"]) for r in personal_data.span_report(docs).collect()]
+    want = []
+    for d, t in rows:
+        t = t or ""
+        inside = [(m.start(), m.end()) for m in re.finditer(r"[a-z]+@[a-z.]+", t)]
+        spans = [(a, f"email:{a}:{b}") for a, b in inside]
+        for m in re.finditer(r"[^\W\d_]{3,}", t):
+            if m[0].lower() in marked[(d, t)] and not any(a < m.end() and m.start() < b for a, b in inside):
+                spans.append((m.start(), f"term:{m.start()}:{m.end()}"))
+        want.append((d, ",".join(x for _, x in sorted(spans))))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    text = {r["doc_id"]: r["text"] for r in personal_data.sanitised(docs).collect()}
+    assert "zebrafish" not in text[0].lower() and "quagga" not in text[4] and "okapi" not in text[None]
+
+
 def test_near_dedup(spark, odd):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
