@@ -9,7 +9,8 @@ and a task of the tree gets a bounded number of bins, at whatever size.
 Items are sorted before each fit, so a task that runs again after a lost executor makes the same bins, and
 every round is stored before the next reads it. Ids come from the tokenizer, word by word: white space
 separates words before any merge, so a word's ids do not depend on its neighbours, and a bounded table
-keeps those of words already seen.
+keeps those of words already seen. Texts are first split at the vocabulary's added tokens (<|endoftext|>), as the
+tokenizer does itself; each of them is a word of its own.
 
 Defined results: null and empty texts are one end token; repeated rows are packed as often as they occur; a
 null doc_id stays null; an empty table gives an empty result. Only (doc_id, text) are read.
@@ -51,11 +52,21 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(a.lstrip or a.rstrip or a.single_word for a in added):
+            raise ValueError("added tokens that depend on their neighbours")
+        # The longest first, as the tokenizer takes them.
+        self.added = re.compile("(" + "|".join(re.escape(a.content) for a in sorted(added, key=lambda a: -len(a.content))) + ")") if added else None
+
+    def _cut(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return _CHUNK.findall(text)
+        parts = self.added.split(text)  # every other one is an added token
+        return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else _CHUNK.findall(part))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_CHUNK.findall(t or "") for t in texts]
+        cut = [self._cut(t or "") for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         new = sorted({w for words in cut for w in words}.difference(self.known))

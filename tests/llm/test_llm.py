@@ -110,6 +110,16 @@ def test_best_fit_and_words():
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_split_at_added_tokens():
+    from tokenizers import Tokenizer
+
+    tok, own, end = Tokenizer.from_file(TOKENIZER), packing.Words(TOKENIZER), "<|endoftext|>"
+    texts = [f"foo {end} bar", end, end * 3, f"  {end}  \n{end}x", f"a{end}b", f"x \u3000{end} ", f"<|{end}|>", "<|endoftext|", f"<|endoftext{end}", f"{end}\n\n b"]
+    for t in [*texts, *texts]:  # once new, once known
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert tok.encode(end, add_special_tokens=False).ids == [50256]
+
+
 def test_personal_data(spark, odd):
     rng = random.Random(3)
     odd_texts = ["a@b.c_d@e.f 1.2.3.4.5.6.7.8 x@y.z@w.v", "é+49 (30) 1234-5678-9) ..", "4111 1111 1111 1111", "0300.1.1.1 1.1.1.1", "a" * 50_000 + "@b",
