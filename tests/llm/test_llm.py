@@ -241,6 +241,23 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).count() == len(ODD)
 
 
+def test_secret_runs_are_read_whole(spark):
+    net = secrets.Network(np.zeros((128, secrets.EMBED)), np.zeros((secrets.EMBED * secrets.SPAN, secrets.FILTERS)), np.zeros(secrets.FILTERS),
+                          np.zeros(secrets.FILTERS + 1), threshold=0.5)
+    net.embed[ord("Z"), 0] = net.filters[0, 0] = 1  # fires on a Z in the run
+    net.dense[0], net.dense[-1] = 20, -10
+    runs = ["readable_lead_" * 3 + "Z" + "q" * 9, "x" * 700 + "Z" + "x" * 50, "y" * 5000 + "Z", "abcZefgh", "lettersonlyZkey", "a.b.c.Z.d.e", "plainwords", "v" * 900, "k" * 80 + "1Z"]
+    docs = spark.createDataFrame([(i, f"some {'words ' * 6}{r} here") for i, r in enumerate(runs)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["spans"], r["masked"]) for r in secrets.scan(docs, net).collect()}
+    for i, r in enumerate(runs):
+        assert got[i][0] == (f"key:41:{41 + len(r)}" if "Z" in r else "") and ("[SECRET]" in got[i][1]) == ("Z" in r), i
+    for n in range(1, 300):
+        starts = secrets.window_starts(n)
+        assert {k for a in starts for k in range(a, min(a + secrets.BODY, n))} == set(range(n)) and len(set(starts)) == len(starts)
+    text = "a secret: ab.cd_ef then token=short1.2.3 end"
+    assert all(inside for a, b, inside in secrets.candidates(text, secrets.base_findings(text))) and len(secrets.base_findings(text)) == 2
+
+
 def test_decontamination_tolerates_substitutions(spark, odd):
     item = [f"b{i}" for i in range(30)]
     near = [w if i % 9 else "changed" for i, w in enumerate(item)]
