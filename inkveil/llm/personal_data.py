@@ -222,7 +222,22 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
 
 def _apart(marks: Column) -> Column:
-    """Sorted marks without those inside an earlier one; a mark that sticks out begins where the one before ends."""
-    ordered = F.sort_array(marks)
-    inside = lambda o, x, i: F.exists(F.slice(o, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda y: (y["end"] >= x["end"]) & (y["start"] <= x["start"]) & (y != x))
-    return let(ordered, lambda o: F.filter(o, lambda x, i: ~F.when(i > 0, inside(o, x, i)).otherwise(False)))
+    """Sorted marks without those inside an earlier one; a mark that sticks out begins where the one before ends.
+
+    The highest end so far is kept by blocks, so marks nest to any depth and no array is copied once per mark.
+    """
+    def outer(o: Column) -> Column:
+        block = lambda b, n: F.coalesce(F.array_max(F.transform(F.slice(o, b * _BLOCK + 1, n), lambda y: y["end"])), F.lit(0))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(o) - 1) / _BLOCK).cast("int"))
+        add = lambda a, b: F.concat(a, F.array(F.greatest(F.element_at(a, -1), block(b, F.lit(_BLOCK)))))
+
+        def kept(highest: Column) -> Column:
+            def sticks_out(x: Column, i: Column) -> Column:
+                b = F.floor(i / _BLOCK).cast("int")
+                return x["end"] > F.greatest(F.get(highest, b), block(b, i - b * _BLOCK))
+
+            return F.filter(o, sticks_out)
+
+        return let(F.aggregate(blocks, F.array(F.lit(0)), add), kept)
+
+    return let(F.sort_array(marks), outer)

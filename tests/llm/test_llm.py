@@ -188,6 +188,13 @@ def test_telling_terms_of_whole_texts(spark):
     assert "zebrafish" not in text[0].lower() and "quagga" not in text[4] and "okapi" not in text[None]
 
 
+def test_nested_marks(spark):
+    ips = lambda n: "_".join(f"10.0.0.{i % 250}" for i in range(n))
+    rows = [(n, f"see x_{ips(n)}@mail.example.com or 1.2.3.4, tail") for n in (1, 8, 9, 12, 63, 64, 65, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["text"] for r in personal_data.sanitised(docs).collect()} == {"see [EMAIL] or [IP], tail"}
+
+
 def test_near_dedup(spark, odd):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
