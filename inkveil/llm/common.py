@@ -20,8 +20,11 @@ def _own_folder() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this process only where none is set (tests, one machine)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}").rstrip("/")
+    """The cluster's shared folder; a folder of this process only where none is set on a single machine (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or f"file://{_own_folder()}").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -32,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing will read again."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if path.startswith(shared_root(spark)) or path.removeprefix("file://").startswith(shared_root(spark).removeprefix("file://")):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, though it is used several times."""
     return F.transform(F.array(value), body)[0]

@@ -57,7 +57,29 @@ SELECT conv_id, i // 1000 AS segment, n AS n_turns,
 FROM t GROUP BY ALL
 """
 
+# crc32 of a decimal number, one character and one bit at a time
+_CRC32 = """xor(list_reduce(list_concat([4294967295], list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+PREFIX_TRIE = f"""
+WITH c AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, {_CRC32.format("conv_id")} % 4 AS h FROM c),
+s AS (SELECT h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, s[1:d] AS p, d = len(s) AS ends FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY p),
+o AS (SELECT *, CASE WHEN depth > 0 THEN p[1:depth - 1] END AS above, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len({_WORDS.format("p[depth].t")}) END AS own FROM n),
+k AS (SELECT above AS p, count(*) AS n FROM o WHERE depth > 0 GROUP BY above),
+f AS (SELECT o.*, coalesce(k.n, 0) AS n_children FROM o LEFT JOIN k ON o.p = k.p),
+u AS (SELECT p[1:i] AS p, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS i FROM f) GROUP BY p[1:i])
+SELECT f.conv_id, f.depth, a.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, f.ends_sha256
+FROM f JOIN u ON f.p = u.p LEFT JOIN n a ON a.p = f.above
+"""
+
 SQL: dict[str, str] = {
+    "op13_prefix_trie": PREFIX_TRIE,
     "op8_chat_collapse": CHAT_COLLAPSE,
     "op4_near_dedup": NEAR_DEDUP,
     "op6_decontamination": DECONTAMINATION,

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat, decontamination, language, line_dedup, near_dedup, packing, personal_data, quality, secrets, substring_dedup
+from inkveil.llm import (
+    chat,
+    decontamination,
+    language,
+    language_model,
+    line_dedup,
+    near_dedup,
+    packing,
+    personal_data,
+    prefix_trie,
+    quality,
+    secrets,
+    substring_dedup,
+    whitening,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +76,18 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score_held_out(table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,4 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_collapse": op8_chat_collapse,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_language_model": op11_language_model,
+    "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
