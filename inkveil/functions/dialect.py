@@ -117,12 +117,34 @@ def any_case(text: Column) -> Column:
     return F.concat(F.lit("(?iu)"), escape_literal(text))
 
 
+# Code points that no text holds, for use inside the search functions.
+MARK, COVER, _STRAY = "\uffff", "\ufffe", "\ufdd0"
+
+
+def _one_case(c: str) -> str:
+    """Upper, then lower case of one code point, without the forms that change the length."""
+    upper = c.upper() if len(c.upper()) == 1 else c
+    return upper.lower() if len(upper.lower()) == 1 else upper
+
+
+def _unlike_lower() -> dict[str, str]:
+    """The few lower-case letters that share their capital with another one (long s, final sigma, dotless i ...)."""
+    low = {c.lower() for c in map(chr, range(0x20000)) if len(c.lower()) == 1 and not "\ud800" <= c <= "\udfff"}
+    return {c: _one_case(c) for c in sorted(low) if _one_case(c) != c}
+
+
+_UNLIKE = _unlike_lower()
+
+
 def fold(text: Column) -> Column:
-    """One form for all letter cases, never narrower than ``(?iu)``: if a literal matches in any case, its fold is
-    contained in the fold of the text. Lower-casing alone depends on the neighbours (final sigma)."""
-    apart = F.translate(text, "\u1e9e\u0130", "\u00dfi")  # capital sharp s and dotted capital i change length
-    # The translation in between also keeps the optimizer from dropping the upper-casing under the lower-casing.
-    return F.translate(F.lower(F.translate(F.upper(apart), "\u03c2", "\u03c3")), "\u03c2\u0131", "\u03c3i")
+    """One form for all letter cases, code point by code point, so that positions and lengths stay.
+
+    The one relation of search, redaction and leak check: two texts are equal in any letter case exactly if their folds
+    are equal. Letters whose capital has several characters stay apart from it, as in case-insensitive patterns.
+    """
+    # Dotted capital i would grow, final sigma depends on its neighbours.
+    apart = F.translate(text, "\u0130\u03a3" + MARK + COVER, "i\u03c3" + _STRAY * 2)
+    return F.translate(F.lower(apart), "".join(_UNLIKE), "".join(_UNLIKE.values()))
 
 
 def strip_ws(text: Column) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.dialect import collapse_ws, is_blank
-from inkveil.functions.text import audit_hash
+from inkveil.functions.dialect import collapse_ws, fold, is_blank
+from inkveil.functions.spans import blackout, merge_spans
+from inkveil.functions.text import audit_hash, let
 from inkveil.operators.entities import target_set
-from inkveil.operators.mask import all_spans, blackout, merge_spans, redact_pages
+from inkveil.operators.mask import all_spans, redact_pages
 from inkveil.sources.audit import append_audit, redaction_audit
 from inkveil.sources.files import write_copy
 
@@ -18,9 +19,8 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     targets = F.transform(
         F.filter(F.array_distinct("targets"), lambda t: ~is_blank(t)), collapse_ws
     )
-    spans = docs.select("doc_id", "text", targets.alias("targets")).withColumn(
-        "_spans", all_spans(F.col("text"), F.col("targets"))
-    )
+    found = let(fold(F.col("text")), lambda low: all_spans(low, F.transform("targets", fold)))
+    spans = docs.select("doc_id", "text", targets.alias("targets")).withColumn("_spans", found)
     return spans.select(
         "doc_id",
         "text",

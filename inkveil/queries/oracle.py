@@ -268,8 +268,15 @@ def html(x: str) -> str:
     return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-_ALT = f"'(?i)' || array_to_string(list_transform({by_length('list_concat(auto, manual)')}, lambda t: {esc(html('t'))}), '|')"
-_LOW_AUTO = f"list_transform(auto, lambda t: lower({html('t')}))"
+# Each target in turn is replaced by a code point of its own, even on the first character of a hit, odd on the others.
+_FIRST_MARK, _LAST_MARK = 0xE000, 0xF8FF
+_MARKED = f"""list_reduce(list_prepend({{'t': lower(text), 'a': '', 'b': ''}}, list_transform(ts, lambda t, i:
+  {{'t': lower(t), 'a': chr(CAST({_FIRST_MARK} + 2 * i AS INTEGER)), 'b': chr(CAST({_FIRST_MARK} + 1 + 2 * i AS INTEGER))}})),
+  lambda x, y: {{'t': replace(x.t, y.t, y.a || repeat(y.b, length(y.t) - 1)), 'a': '', 'b': ''}}).t"""
+_HIGHLIGHTED = f"""list_transform(cs, lambda c, i: CASE WHEN ks[i] BETWEEN {_FIRST_MARK} AND {_LAST_MARK} AND ks[i] % 2 = 0
+    THEN '<mark class="text-highlight-' || CASE WHEN list_contains(low_manual, lower(ts[(ks[i] - {_FIRST_MARK}) // 2])) THEN 'manual' ELSE 'auto' END || '">' ELSE '' END
+  || {html('c')} || CASE WHEN ks[i] BETWEEN {_FIRST_MARK} AND {_LAST_MARK} AND NOT (coalesce(ks[i + 1], 0) BETWEEN {_FIRST_MARK} AND {_LAST_MARK} AND ks[i + 1] % 2 = 1)
+    THEN '</mark>' ELSE '' END)"""
 
 ITEM_FLAGS = f"""{PAGES}, {ITEMS}, {ENTITIES}, {MANUAL},
 ent AS (SELECT DISTINCT doc_id, lower({collapse('text')}) AS t, false AS m FROM ents
@@ -394,10 +401,10 @@ def oracle() -> dict[str, str]:
         f"WITH {WITH_TARGETS} SELECT doc_id, left({_MASK}, 5000) || CASE WHEN length(text) > 5000 THEN '...' ELSE '' END AS shown FROM aimed"
     )
     sql["highlight_text"] = f"""WITH {WITH_TARGETS},
-      h AS (SELECT doc_id, {html('text')} AS t, {_ALT} AS re, {_LOW_AUTO} AS k FROM aimed),
-      cut AS (SELECT doc_id, k, string_split_regex(t, re) AS g, regexp_extract_all(t, re) AS x FROM h)
-      SELECT doc_id, replace(array_to_string(list_transform(g, lambda y, i: y || CASE WHEN i <= len(x) THEN
-        '<mark class="text-highlight-' || CASE WHEN list_contains(k, lower(x[i])) THEN 'auto' ELSE 'manual' END || '">' || x[i] || '</mark>' ELSE '' END), ''), chr(10), '<br>') AS html FROM cut"""
+      h AS (SELECT doc_id, text, list_transform(manual, lambda t: lower(t)) AS low_manual,
+        list_filter({by_length('list_concat(auto, manual)')}, lambda t: t <> '') AS ts FROM aimed),
+      m AS (SELECT *, string_split(text, '') AS cs, list_transform(string_split({_MARKED}, ''), lambda c: ord(c)) AS ks FROM h)
+      SELECT doc_id, replace(array_to_string({_HIGHLIGHTED}, ''), chr(10), '<br>') AS html FROM m"""
     sql["redact_documents"] = f"""WITH {WITH_TARGETS},
       t AS (SELECT doc_id, text, unnest(list_concat(auto, manual)) AS target FROM aimed),
       u AS (SELECT DISTINCT doc_id, target FROM t WHERE regexp_matches(target, '\\S')),

@@ -18,6 +18,7 @@ from inkveil.operators.ner import merge_tokens
 from inkveil.plans import scan as P
 from inkveil.plans.redaction import redact_documents
 from inkveil.queries import inputs as I
+from inkveil.session import stored
 from inkveil.sources import audit as A
 from inkveil.sources import files as SF
 from inkveil.sources.settings import parse_list, preset_catalog
@@ -292,7 +293,8 @@ def _with_targets(docs: DataFrame) -> DataFrame:
 
 
 def _targets(pages: DataFrame) -> DataFrame:
-    return E.target_set(I.page_entities(pages), I.manual_entities(pages))
+    """Stored, as in the job: the search reads them more than once, the rules run once."""
+    return stored(E.target_set(I.page_entities(pages), I.manual_entities(pages)), "targets")
 
 
 @query

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -25,3 +31,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a shared folder, or name a path explicitly")
     return f"{root.rstrip('/')}/{name}"
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="inkveil-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, for steps that read it more than once.
+
+    A session on one machine that names no shared folder uses one of its process; a cluster has to name one.
+    """
+    spark = df.sparkSession
+    on_one_machine = spark.sparkContext.master.split("[")[0] == "local"
+    if on_one_machine and not spark.conf.get("spark.checkpoint.dir", None):
+        path = f"file://{_own_folder()}/{name}"
+    else:
+        path = shared_folder(spark, name)
+    path = f"{path}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

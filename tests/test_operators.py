@@ -1,18 +1,22 @@
 """Operators against worked examples and brute force."""
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import text as T
-from inkveil.functions.dialect import any_case, collapse_ws, strip_ws
+from inkveil.functions import spans as SP
+from inkveil.functions.dialect import any_case, collapse_ws, fold, strip_ws
 from inkveil.operators import entities as E
 from inkveil.operators import mask as M
 from inkveil.operators import scan as S
+from inkveil.operators.candidates import candidates
 from inkveil.operators.ner import merge_tokens, tag_documents
 from inkveil.operators.sequence import number_rows
 from inkveil.plans import scan as P
+from inkveil.plans.redaction import redact_documents
 
 
 def one(spark, column, **values):
@@ -219,7 +223,7 @@ def brute_redact(text, targets):
 @pytest.mark.parametrize("per_row", [1, 3, 1000])
 def test_redact_pages_equals_brute_force(spark, monkeypatch, per_row):
     monkeypatch.setattr(M, "PAGES_PER_BUCKET", 2)
-    monkeypatch.setattr(M.attach_targets, "__defaults__", (("target",), "doc_id", "page_no", per_row))
+    monkeypatch.setattr(M.attach_targets, "__defaults__", (("target", "low"), "doc_id", "page_no", per_row))
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abÉé.") for _ in range(rng.randint(1, 4)))
     pages = [(d, p, " ".join(word() for _ in range(12))) for d in range(4) for p in range(5)]
@@ -282,11 +286,136 @@ def test_preview_cut(spark):
     assert one(spark, T.ellipsis(F.lit("abcdef"), 3)) == "abc..."
 
 
-def test_targets_are_covered_in_every_letter_case(spark):
-    cases = [("ΟΔΟΣΑ x", "ΟΔΟΣ"), ("ΟΔΟΣ", "οδος"), ("Straße", "STRAẞE"), ("İzmir", "izmir"), ("ſecret", "SECRET"), ("5 \u212a", "5 k")]
-    df = spark.createDataFrame([(i, t, [x]) for i, (t, x) in enumerate(cases)], "i int, t string, x array<string>")
-    spans = df.select("i", M.all_spans(F.col("t"), F.col("x")).alias("s"), M.count_leaks(F.col("t"), F.col("x")).alias("n")).orderBy("i").collect()
-    assert [(len(r.s), r.n) for r in spans] == [(1, 1)] * len(cases)
+CASES = [("ΟΔΟΣΑ x", "ΟΔΟΣ", 1), ("ΟΔΟΣ", "οδος", 1), ("Straße", "STRAẞE", 1), ("İzmir ızmır", "izmir", 2), ("ſecret", "SECRET", 1), ("5 \u212a", "5 k", 1),
+         ("straße 5", "strasse", 0), ("ﬁle", "file", 0), ("ǅ ǆ Ǆ", "ǆ", 3), ("\uffff\ufffe x", "X", 1), ("𐐀 𐐨", "𐐨", 2)]
+
+
+def test_search_redaction_and_leak_check_agree_in_every_letter_case(spark):
+    df = spark.createDataFrame([(i, t, x) for i, (t, x, _) in enumerate(CASES)], "i int, t string, x string")
+    low, target = fold(F.col("t")), fold(F.col("x"))
+    found = df.select("i", M.match_spans(F.col("t"), F.col("x")).alias("s"), M.readable(low, F.array(target)).alias("n")).orderBy("i").collect()
+    assert [(len(r.s), r.n) for r in found] == [(n, n > 0) for _, _, n in CASES]
+    pages = df.select(F.col("i").alias("doc_id"), F.lit(1).alias("page_no"), F.col("t").alias("text"))
+    targets = df.select(F.col("i").alias("doc_id"), F.col("x").alias("text"))
+    assert M.verify_pages(M.redact_pages(pages, targets), targets).agg(F.sum("n_leaks")).first()[0] == 0
+
+
+def test_fold_is_one_code_point_for_one(spark):
+    every = "".join(c for c in map(chr, range(1, 0x20000)) if not "\ud800" <= c <= "\udfff")
+    got = spark.createDataFrame([(every,)], "t string").select(fold(F.col("t"))).first()[0]
+    assert len(got) == len(every)
+    for c, low in zip(every, got):
+        if unicodedata.category(c) != "Cn":  # the engines may know different versions of the standard
+            assert low == fold_plainly(c), hex(ord(c))
+
+
+def fold_plainly(c):
+    if c in "\uffff\ufffe":
+        return "\ufdd0"
+    upper = c.upper() if len(c.upper()) == 1 else c
+    return "i" if upper == "İ" else upper.lower()
+
+
+# --- spans --------------------------------------------------------------------------------------------
+
+
+def array_of(values, kind="int"):
+    return F.expr(f"cast(array({', '.join(map(str, values))}) as array<{kind}>)")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 333])
+def test_running_sums(spark, n):
+    values = [random.Random(n).randint(0, 9) for _ in range(n)]
+    assert one(spark, SP.running_sums(array_of(values))) == [sum(values[: i + 1]) for i in range(n)]
+
+
+def test_merged_spans_and_text_put_together(spark):
+    rng = random.Random(8)
+    for size in (0, 1, 5, 200):
+        spans = [(s, s + rng.randint(1, 12)) for s in (rng.randint(1, 2990) for _ in range(size))]
+        text = "".join(rng.choice("ab é𝄞\n") for _ in range(3002))
+        covered = {i for s, e in spans for i in range(s, e)} | {0}
+        array = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in spans]) if spans else F.expr(SP.NO_SPANS)
+        merged = one(spark, SP.merge_spans(array))
+        # touching spans are merged as well
+        assert [(m.s, m.e) for m in merged] == [
+            (s, next(e for e in range(s, 4000) if e not in covered)) for s in sorted(covered - {0}) if s - 1 not in covered or s == 1 and s in covered]
+        done = one(spark, SP.blackout(F.lit(text), SP.merge_spans(array)))
+        assert done == "".join("█" if i + 1 in covered else c for i, c in enumerate(text))
+
+
+def test_a_megabyte_with_a_hundred_thousand_hits(spark):
+    text = "secret   é" * 100_000
+    df = spark.createDataFrame([(1, text, ["SECRET", "nothing"])], "doc_id int, text string, targets array<string>")
+    r = redact_documents(df).first()
+    assert r.n_redactions == 100_000 and r.redacted == text.replace("secret", "█" * 6)
+
+
+def highlight_plainly(text, auto, manual):
+    """Longest target first, its hits from the left in what is still free."""
+    kind = {}
+    rest = text.lower()
+    lows = {m.lower() for m in manual}
+    for t in sorted([t.lower() for t in auto + manual], key=len, reverse=True):
+        at = rest.find(t)
+        while t and at >= 0:
+            kind[at] = (at + len(t), "manual" if t in lows else "auto")
+            rest = rest[:at] + "\0" * len(t) + rest[at + len(t) :]
+            at = rest.find(t)
+    out, at = [], 0
+    esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    for s, (e, k) in sorted(kind.items()):
+        out += [esc(text[at:s]), f'<mark class="text-highlight-{k}">', esc(text[s:e]), "</mark>"]
+        at = e
+    return ("".join(out) + esc(text[at:])).replace("\n", "<br>")
+
+
+def test_highlight_takes_the_longest_first(spark):
+    assert highlight_plainly("abcde", ["bcde"], ["abc"]) == 'a<mark class="text-highlight-auto">bcde</mark>'
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abB<&") for _ in range(rng.randint(1, n)))
+    rows = [(i, word(40) + "\n" + word(9), [word(4) for _ in range(4)], [word(4) for _ in range(2)]) for i in range(200)]
+    rows += [(200, "abcde", ["bcde"], ["abc"]), (201, "Ann ann", ["ann"], ["ANN"]), (202, "", ["a"], []), (203, "none", [], []), (204, "a a", ["", "a"], [""])]
+    df = spark.createDataFrame(rows, "i int, t string, a array<string>, m array<string>")
+    got = {r.i: r.h for r in df.select("i", M.highlight(F.col("t"), F.col("a"), F.col("m")).alias("h")).collect()}
+    assert got == {i: highlight_plainly(t, a, m) for i, t, a, m in rows}
+
+
+# --- candidates ---------------------------------------------------------------------------------------
+
+
+def test_candidates_hold_every_containment(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé 𝄞") for _ in range(rng.randint(1, n)))
+    texts = [(d, i, word(30)) for d in range(3) for i in range(60)]
+    patterns = sorted({(d, word(5)) for d in range(4) for _ in range(40)})
+    got = candidates(
+        spark.createDataFrame(texts, "doc_id int, page_no int, low string"), spark.createDataFrame(patterns, "doc_id int, low string"),
+        ("doc_id",), ("page_no",), ("low",)).collect()
+    pairs = {(r.doc_id, r.page_no, r.low) for r in got}
+    assert len(pairs) == len(got)
+    held = {(d, i, p) for d, i, t in texts for k, p in patterns if k == d and p in t}
+    assert held <= pairs and len(pairs) < 0.5 * sum(k == d for d, _, _ in texts for k, _ in patterns)
+
+
+@pytest.mark.parametrize("per_row", [2, 1000])
+def test_item_flags_either_way(spark, per_row):
+    rng = random.Random(6)
+    word = lambda n=4: "".join(rng.choice("abcA") for _ in range(rng.randint(1, n)))
+    items = [(d, p, i, rng.choice([word(), word(), word() + " " + word(), " "])) for d in range(3) for p in range(3) for i in range(20)]
+    auto = [(d, f"{word(6)} {word(6)}") for d in range(3) for _ in range(4)] + [(0, " ")]
+    manual = [(d, word(6)) for d in range(2) for _ in range(3)]
+
+    def touches(low, entities):
+        return low != "" and any(low in t or any(w in low for w in t.split()) for t in entities)
+
+    want = {}
+    for d, p, i, s in items:
+        low = s.strip().lower()
+        want[d, p, i] = tuple(touches(low, [t.lower() for k, t in side if k == d and t.strip()]) for side in (manual, auto))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    got = M.highlight_items(spark.createDataFrame(items, "doc_id long, page_no long, item_no int, str string"), frame(auto), frame(manual), per_row)
+    assert {(r.doc_id, r.page_no, r.item_no): (r.is_manual, r.is_detected) for r in got.collect()} == want
 
 
 def test_undo_takes_back_the_last_batch_first(spark):
