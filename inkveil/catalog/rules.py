@@ -44,6 +44,9 @@ DATE_YMD = r"\b(?:19|20)\d{2}[/-](?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])\
 DATE_LOOSE = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b"
 DOLLARS_LOOSE = r"\$[\d,]+\.?\d*"
 
+# Digits in groups, as many as there are, with no decimal comma behind: a match that begins inside could only go on
+# through that end. Where a further digit follows, one may begin in the last group.
+_GROUPED_RUN = r"\d++(?:\.\d{3})*+(?!\d|,\d{2})"
 _MAIL_RUN = r"\b[A-Za-z0-9][\w.%+-]*+"
 _STREET_RUN = r"\d++\s++[\w\s]*+"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\."
@@ -115,7 +118,8 @@ BANK_RULES = (
     Rule("B08", r"\b\d{13,19}\b", digit=True),
     Rule("B09", r"\b\d{3}-\d{3}\b", digit=True),
     Rule("B10", r"(?:[£$€¥]\s?)?-?\d{1,3}(?:[,\s]\d{3})*(?:\.\d{2})?(?:\s?(?:CR|DR|USD|GBP|EUR|JPY))?\b", digit=True),
-    Rule("B11", r"(?:[£$€¥]\s?)?\d{1,3}(?:\.\d{3})*(?:,\d{2})(?:\s?(?:CR|DR|USD|GBP|EUR|JPY))?\b", digit=True),
+    Rule("B11", r"(?:[£$€¥]\s?)?\d{1,3}(?:\.\d{3})*(?:,\d{2})(?:\s?(?:CR|DR|USD|GBP|EUR|JPY))?\b", digit=True,
+         barren=_GROUPED_RUN),
     Rule("B12", r"\b(?:REF|REFERENCE|TXN|TRANS)[\s:#]*(?:[A-Z0-9]{6,20})\b", ignore_case=True,
          hints=("ref", "txn", "trans")),
     Rule("B13", r"\b(?:CHECK|CHEQUE|CHK)[\s:#]*(?:\d{3,8})\b", ignore_case=True, digit=True,

@@ -8,6 +8,7 @@ Unicode spaces. Java 17 reads boundaries as Unicode and ``\\s`` as ASCII, so bot
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,6 +113,40 @@ def escape_literal_py(text: str) -> str:
     return "".join("\\" + c if c in ".*+?^${}()|[]\\" else c for c in text)
 
 
+def trie_regex(words: Iterable[str]) -> str:
+    """A pattern of all ``words`` that finds the longest one at a place, sharing their beginnings.
+
+    Every word that begins the longest one stands there as well, and no other word does.
+    """
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def tail(node: dict) -> str:
+        firsts = sorted(c for c in node if c)
+        if not firsts:
+            return ""
+        body = choice(node, firsts)
+        return f"(?:{body})?" if "" in node else body
+
+    def choice(node: dict, firsts: list[str]) -> str:
+        """One of the branches. Many are halved by a look at the next character, as a pattern tries them in turn."""
+        if len(firsts) == 1:
+            return escape_literal_py(firsts[0]) + tail(node[firsts[0]])
+        if len(firsts) <= 3:
+            return f"(?:{'|'.join(choice(node, [c]) for c in firsts)})"
+        halves = firsts[: len(firsts) // 2], firsts[len(firsts) // 2 :]
+        return "(?:" + "|".join(f"(?=[{''.join(map(in_class, h))}]){choice(node, h)}" for h in halves) + ")"
+
+    def in_class(c: str) -> str:
+        return c if c.isalnum() else "\\" + c
+
+    return tail(root)
+
+
 def any_case(text: Column) -> Column:
     """Pattern column matching a literal in any letter case, accented letters included."""
     return F.concat(F.lit("(?iu)"), escape_literal(text))

@@ -14,28 +14,49 @@ from pyspark.sql import functions as F
 
 from inkveil.catalog.dictionaries import PRESETS, Preset
 from inkveil.catalog.rules import COMMON_RULES, DEEP_RULES, FAST_NAME_RULES, FAST_RULES, NAME_RULES, Rule
-from inkveil.functions.dialect import escape_literal_py, java_regex, strip_ws
+from inkveil.functions.dialect import escape_literal_py, java_regex, strip_ws, trie_regex
+from inkveil.functions.spans import running
 from inkveil.functions.text import is_common_word, let, parse_reply, reply_says_nothing
 
 WINDOW_CHARS = 100
 # Value after a keyword: past the first ':' or '=' (or line end), 2 to 50 characters up to , ; or line end.
 _VALUE = java_regex(r"^[^:=\n]*[:=]?\s*([^\n,;]{2,50})")
 
-_LOW, _DIGIT = "_low", "_digit"
+_LOW, _DIGIT, _HINT = "_low", "_digit", "_hint"
 _EMPTY = "cast(array() as array<string>)"
+_HINTS = frozenset(
+    h
+    for rules in (COMMON_RULES, NAME_RULES, FAST_RULES, FAST_NAME_RULES, DEEP_RULES, *(p.rules for p in PRESETS.values()))
+    for rule in rules
+    for h in rule.hints
+)
+
+
+def words_in(low: Column, words: Iterable[str]) -> Column:
+    """Those of the words that stand anywhere in a text, found in one walk over it."""
+    words = sorted(set(words))
+    if not words:
+        return F.expr(_EMPTY)
+    # The walk reports the longest word at each place; the words it begins with stand there too.
+    inside = F.create_map(*[F.lit(x) for w in words for x in (w, [v for v in words if w.startswith(v)])])
+    longest = F.regexp_extract_all(low, F.lit(f"(?=({trie_regex(words)}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(longest), lambda w: inside[w])))
 
 
 def with_gates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the columns the cheap pre-tests read: the lower-cased text and whether it holds a digit."""
-    return docs.withColumn(_LOW, F.lower(F.col(text))).withColumn(_DIGIT, F.col(text).rlike("[0-9]"))
+    """Add the columns the cheap pre-tests read: the lower-cased text, whether it holds a digit, and the hints of all
+    rules that it holds. Columns that no test reads are never computed."""
+    gated = docs.withColumn(_LOW, F.lower(F.col(text))).withColumn(_DIGIT, F.col(text).rlike("[0-9]"))
+    return gated.withColumn(_HINT, words_in(F.col(_LOW), _HINTS))
 
 
 def drop_gates(docs: DataFrame) -> DataFrame:
-    return docs.drop(_LOW, _DIGIT)
+    return docs.drop(_LOW, _DIGIT, _HINT)
 
 
-def rule_matches(rule: Rule, text: str = "text", gated: bool = True) -> Column:
-    """All non-overlapping matches of one rule, left to right."""
+def rule_matches(rule: Rule, text: str = "text", gated: bool = True, walk: bool = True) -> Column:
+    """All non-overlapping matches of one rule, left to right. ``walk``: look the rule's hints up among those that one
+    walk over the text found, instead of searching for each."""
     pattern = java_regex(rule.java or rule.pattern, rule.ignore_case, rule.soft, rule.open_run, rule.first)
     if rule.barren:
         either = f"({pattern})|{java_regex(rule.barren, rule.ignore_case, rule.soft)}"
@@ -48,19 +69,27 @@ def rule_matches(rule: Rule, text: str = "text", gated: bool = True) -> Column:
     if rule.hints:
         any_hint = F.lit(False)
         for hint in rule.hints:
-            any_hint = any_hint | F.contains(F.col(_LOW), F.lit(hint))
+            known = walk and hint in _HINTS
+            any_hint = any_hint | (F.array_contains(_HINT, hint) if known else F.contains(F.col(_LOW), F.lit(hint)))
         gate = gate & any_hint
     elif not rule.digit:
         return found
     return F.when(gate, found).otherwise(F.expr(_EMPTY))
 
 
+def _worth_a_walk(rules: Sequence[Rule]) -> bool:
+    """Measured: one walk for all hints costs about as much as searching for fifteen."""
+    return sum(len(r.hints) for r in rules) > 15
+
+
 def scan_rules(
     docs: DataFrame, rules: Iterable[Rule], keys: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """One row per match: keys, rule, position among the rule's matches (from 1), matched text."""
+    rules = list(rules)
+    walk = _worth_a_walk(rules)
     per_rule = F.array(
-        *[F.struct(F.lit(r.rule_id).alias("rule"), rule_matches(r, text).alias("hits")) for r in rules]
+        *[F.struct(F.lit(r.rule_id).alias("rule"), rule_matches(r, text, walk=walk).alias("hits")) for r in rules]
     )
     hit_rules = F.filter(per_rule, lambda r: F.size(r["hits"]) > 0)
     return (
@@ -101,37 +130,53 @@ def known_presets(requested: Iterable[str]) -> list[Preset]:
 # --- keywords ---------------------------------------------------------------------------------------
 
 
-def _keyword_table(keywords: Sequence[str]) -> Column:
-    """Constant array of (keyword, pattern); the pattern yields one window per occurrence.
+def _windows(keywords: Iterable[str], text: str) -> Column:
+    """array<struct<word, window>>: at every place where a keyword begins, the longest one and up to 100 characters.
 
-    The capturing look-ahead consumes nothing, so overlapping occurrences are all reported.
+    One walk over the text for all keywords. The capturing look-ahead consumes nothing, so overlapping occurrences are
+    all reported.
     """
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k.lower()).alias("kw"),
-                F.lit(
-                    "(?is)(?=(%s.{0,%d}))" % (escape_literal_py(k.lower()), max(WINDOW_CHARS - len(k), 0))
-                ).alias("re"),
-            )
-            for k in keywords
-        ]
+    trie = trie_regex(sorted({k.lower() for k in keywords}))
+    found = F.regexp_extract_all(F.col(text), F.lit("(?is)(?=((?=%s).{1,%d}))" % (trie, WINDOW_CHARS)), F.lit(1))
+    return F.transform(
+        found, lambda w: F.struct(F.lower(F.regexp_extract(w, f"(?i)^{trie}", 0)).alias("word"), w.alias("window"))
     )
 
 
-def _present(keywords: Sequence[str]) -> Column:
-    """The keywords that occur in the text at all."""
-    return F.filter(_keyword_table(keywords), lambda k: F.contains(F.col(_LOW), k["kw"]))
+def _hits(presets: Sequence[Sequence[str]], text: str) -> Column:
+    """array<struct<preset, keyword, pos, window, value>>: the occurrences of every keyword list, in the order of lists,
+    keywords and text. ``value`` is what follows the keyword, NULL where it is rejected."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    for p, keywords in enumerate(presets):
+        for k, keyword in enumerate(keywords):
+            places.setdefault(keyword.lower(), []).append((p, k))
+    if not places:
+        return F.expr("cast(array() as array<struct<preset:int,keyword:int,pos:int,window:string,value:string>>)")
+    # A window begins with its longest keyword and with every keyword that begins that one.
+    inside = {w: sorted({x for v in places if w.startswith(v) for x in places[v]}) for w in places}
+    row = lambda p, k: F.struct(F.lit(p).alias("preset"), F.lit(k).alias("keyword"), F.lit(presets[p][k].lower()).alias("kw"))
+    table = F.create_map(*[x for w, found in inside.items() for x in (F.lit(w), F.array(*[row(p, k) for p, k in found]))])
+
+    def at(window: Column, pos: Column) -> Column:
+        def hit(value: Column) -> Column:
+            return F.transform(
+                table[window["word"]],
+                lambda k: F.struct(
+                    k["preset"].alias("preset"),
+                    k["keyword"].alias("keyword"),
+                    pos.alias("pos"),
+                    window["window"].alias("window"),
+                    F.when(keep_value(value, k["kw"]), value).alias("value"),
+                ),
+            )
 
+        return let(window_value(window["window"]), hit)
+
+    return F.array_sort(F.flatten(F.transform(_windows(places, text), at)))
 
-def keyword_hits(keywords: Sequence[str], text: str = "text") -> Column:
-    """array<struct<keyword, windows>>: the up to 100 characters from each occurrence on."""
-    return F.transform(
-        _present(keywords),
-        lambda k: F.struct(
-            k["kw"].alias("keyword"), F.regexp_extract_all(F.col(text), k["re"], F.lit(1)).alias("windows")
-        ),
-    )
+
+def _of_preset(hits: Column, preset: int) -> Column:
+    return F.filter(hits, lambda h: h["preset"] == preset)
 
 
 def window_value(window: Column) -> Column:
@@ -142,14 +187,29 @@ def keep_value(value: Column, keyword: Column) -> Column:
     return (F.length(value) > 2) & (F.lower(value) != keyword) & ~is_common_word(value)
 
 
-def keyword_values(keywords: Sequence[str], text: str = "text") -> Column:
-    """Values found after the keywords, in keyword order then text order."""
+def _values(hits: Column) -> Column:
+    return F.filter(F.transform(hits, lambda h: h["value"]), lambda v: v.isNotNull())
 
-    def values(k: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(F.col(text), k["re"], F.lit(1)), window_value)
-        return F.filter(found, lambda v: keep_value(v, k["kw"]))
 
-    return F.flatten(F.transform(_present(keywords), values))
+def keyword_hits(keywords: Sequence[str], text: str = "text") -> Column:
+    """array<struct<keyword, windows>>: the up to 100 characters from each occurrence on, for keywords that occur."""
+    names = F.array(*[F.lit(k.lower()) for k in keywords])
+    one = let(
+        _hits([keywords], text),
+        lambda hits: F.transform(
+            names,
+            lambda name, i: F.struct(
+                name.alias("keyword"),
+                F.transform(F.filter(hits, lambda h: h["keyword"] == i), lambda h: h["window"]).alias("windows"),
+            ),
+        ),
+    )
+    return F.filter(one, lambda k: F.size(k["windows"]) > 0)
+
+
+def keyword_values(keywords: Sequence[str], text: str = "text") -> Column:
+    """Values found after the keywords, in keyword order then text order."""
+    return _values(_hits([keywords], text))
 
 
 def custom_hits(keywords: Sequence[str], text: str = "text") -> Column:
@@ -177,64 +237,54 @@ def scan_keyword_windows(
     docs: DataFrame, presets: Iterable[str], keys: Sequence[str] = ("doc_id",), text: str = "text"
 ) -> DataFrame:
     """One row per keyword occurrence with its window and the value read from it (NULL if rejected)."""
+    known = [p for p in known_presets(presets) if p.keywords]
+    names = F.array(
+        *[F.struct(F.lit(p.preset_id).alias("preset"), F.array(*[F.lit(k.lower()) for k in p.keywords]).alias("keywords")) for p in known]
+    )
+    # Occurrences are numbered per keyword; the values are read inside the array, so a filter on one stays above.
+    hits = let(
+        _hits([p.keywords for p in known], text),
+        lambda all_: F.zip_with(
+            all_,
+            F.transform(running(_begins(all_), lambda a, x: F.greatest(a, x)), lambda first, i: i + 1 - first),
+            lambda h, pos: F.struct(
+                F.get(names, h["preset"])["preset"].alias("preset"),
+                F.get(F.get(names, h["preset"])["keywords"], h["keyword"]).alias("keyword"),
+                pos.alias("pos"),
+                h["window"].alias("window"),
+                h["value"].alias("value"),
+            ),
+        ),
+    )
+    return docs.select(*keys, F.inline(hits))
 
-    def read(hit: Column) -> Column:
-        def value(window: Column) -> Column:
-            return let(
-                window_value(window),
-                lambda v: F.struct(
-                    window.alias("window"), F.when(keep_value(v, hit["keyword"]), v).alias("value")
-                ),
-            )
 
-        return F.struct(hit["keyword"].alias("keyword"), F.transform(hit["windows"], value).alias("found"))
+def _begins(hits: Column) -> Column:
+    """For hits in order: the place of each where its keyword's hits begin, else 0."""
 
-    # Values are read inside the arrays: a filter on a value then stays above the explode.
-    per_preset = F.array(
-        *[
-            F.struct(F.lit(p.preset_id).alias("preset"), F.transform(keyword_hits(p.keywords, text), read).alias("hits"))
-            for p in known_presets(presets)
-            if p.keywords
-        ]
-    )
-    return (
-        with_gates(docs.select(*keys, text), text)
-        .select(*keys, F.inline(per_preset))
-        .select(*keys, "preset", F.inline("hits"))
-        .select(*keys, "preset", "keyword", F.posexplode("found").alias("pos", "f"))
-        .select(*keys, "preset", "keyword", (F.col("pos") + 1).alias("pos"), "f.window", "f.value")
-    )
+    def begin(h: Column, i: Column) -> Column:
+        before = F.get(hits, i - 1)
+        same = (h["preset"] == before["preset"]) & (h["keyword"] == before["keyword"])
+        return F.when((i > 0) & same, F.lit(0)).otherwise(i)
+
+    return F.transform(hits, begin)
 
 
 def count_keywords(docs: DataFrame, presets: Iterable[str], text: str = "text") -> DataFrame:
     """Keyword occurrences per preset."""
-    per_preset = F.array(
-        *[
-            F.struct(
-                F.lit(p.preset_id).alias("preset"),
-                F.aggregate(
-                    keyword_hits(p.keywords, text), F.lit(0).cast("bigint"), lambda n, h: n + F.size(h["windows"])
-                ).alias("n"),
-            )
-            for p in known_presets(presets)
-            if p.keywords
-        ]
-    )
-    return with_gates(docs.select(text), text).select(F.inline(per_preset)).groupBy("preset").agg(F.sum("n").alias("n_hits"))
+    known = [p for p in known_presets(presets) if p.keywords]
+    names = F.array(*[F.lit(p.preset_id) for p in known])
+    hits = F.transform(_hits([p.keywords for p in known], text), lambda h: F.get(names, h["preset"]))
+    return docs.select(F.explode(hits).alias("preset")).groupBy("preset").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 def join_keywords(docs: DataFrame, keywords: Sequence[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(document, keyword) for every keyword the text contains.
 
-    A contains-join against a short word list, run as a filter over a constant array: the keyword side
-    never becomes a table, and no document-keyword pair exists that is not a hit.
+    A contains-join against a word list, run as one walk over each text: the keyword side never becomes a table, and no
+    document-keyword pair exists that is not a hit.
     """
-    return (
-        with_gates(docs.select(*keys, "text"))
-        .select(*keys, F.explode_outer(_present(keywords)).alias("k"))
-        .where(F.col("k").isNotNull())
-        .select(*keys, F.col("k.kw").alias("keyword"))
-    )
+    return docs.select(*keys, F.explode(words_in(F.lower("text"), [k.lower() for k in keywords])).alias("keyword"))
 
 
 # --- pattern scan -----------------------------------------------------------------------------------
@@ -252,17 +302,23 @@ def pattern_findings(
     parts = [common, names]
     # The result is a set: a preset's rule that repeats an earlier pattern cannot add anything.
     done = {(r.pattern, r.ignore_case) for r in COMMON_RULES}
-    for preset in known_presets(presets):
+    known = known_presets(presets)
+    for n, preset in enumerate(known):
         fresh = [r for r in preset.rules if (r.pattern, r.ignore_case) not in done]
         done.update((r.pattern, r.ignore_case) for r in fresh)
         if fresh:
             raw = concat_arrays([rule_matches(r, text) for r in fresh])
             parts.append(F.transform(F.filter(raw, lambda m: F.length(m) >= 3), strip_ws))
         if preset.keywords:
-            parts.append(keyword_values(preset.keywords, text))
+            parts.append(lambda hits, n=n: _values(_of_preset(hits, n)))
     if custom:
         parts.append(custom_hits(custom, text))
-    return F.filter(F.array_distinct(concat_arrays(parts)), lambda t: F.length(strip_ws(t)) >= 2)
+    # All keyword lists are read off one walk over the text.
+    found = let(
+        _hits([p.keywords for p in known], text),
+        lambda hits: concat_arrays([p(hits) if callable(p) else p for p in parts]),
+    )
+    return F.filter(F.array_distinct(found), lambda t: F.length(strip_ws(t)) >= 2)
 
 
 def scan_pattern_arrays(

@@ -166,3 +166,50 @@ def test_streams_and_batches_share_gates(spark):
     assert docs.select("_low", "_digit").first() == ("x 9", True)
     assert S.drop_gates(docs).columns == ["doc_id", "text"]
     assert docs.select(F.size(S.rule_matches(RULES["F06"]))).first()[0] == 0
+
+
+# --- one walk for many words --------------------------------------------------------------------------
+
+
+def test_words_in_finds_every_word(spark):
+    rng = random.Random(4)
+    word = lambda n, letters="abc-.": "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))
+    words = sorted({word(5) for _ in range(60)} | {"$", "#", "]", "^", "\\", "é", "£x"})
+    texts = [word(200, "abc-.$#]^\\é£x ") for _ in range(50)] + [""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.w for r in df.select("i", S.words_in(F.col("t"), words).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        assert len(got[i]) == len(set(got[i])) and set(got[i]) == {w for w in words if w in t}
+
+
+def windows_plainly(presets, text):
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    for name, keywords in presets:
+        for k in keywords:
+            starts = [i for i in range(len(text)) if low.startswith(k.lower(), i)]
+            for n, i in enumerate(starts):
+                yield name, k.lower(), n + 1, text[i : i + 100]
+
+
+def test_keyword_windows_of_all_presets_in_one_walk(spark):
+    rng = random.Random(5)
+    keywords = [k for p in PRESETS.values() for k in p.keywords]
+    texts = ["".join(rng.choice([*rng.sample(keywords, 3), "Tax ID", "é", ": x", "\n", " is "]) for _ in range(40)) for _ in range(20)]
+    texts = [t.title() if i % 2 else t for i, t in enumerate(texts)] + ["", "ssnssn" * 300]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = S.scan_keyword_windows(docs, list(PRESETS)).collect()
+    want = {(i, *w) for i, t in enumerate(texts) for w in windows_plainly([(n, p.keywords) for n, p in PRESETS.items()], t)}
+    assert len(got) == len(want) and {(r.doc_id, r.preset, r.keyword, r.pos, r.window) for r in got} == want
+
+
+def test_grouped_amounts_step_over_runs(spark):
+    rule, rng = RULES["B11"], random.Random(6)
+    texts = ["".join(rng.choice("1234.,,€ C") if rng.random() < 0.5 else rng.choice([".123", ",45", "12"]) for _ in range(30)) for _ in range(400)]
+    texts += ["1.234.567,89", "1.2345,67", "123" + ".456" * 50_000, "1.234,5"]
+    docs = S.with_gates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"))
+    got = {r.i: r.h for r in docs.select("i", S.rule_matches(rule).alias("h")).collect()}
+    plain = re.compile(rule.pattern, re.ASCII)
+    for i, t in enumerate(texts):
+        if len(t) < 1000:
+            assert got[i] == [m[0] for m in plain.finditer(t)], t
+    assert got[402] == []
