@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.dialect import WS, strip_ws
 from inkveil.functions.text import confidence_band, confidence_percent, is_common_word, norm_key, source_label
-from inkveil.operators.sequence import BUCKET, keep_first, number_rows
+from inkveil.operators.sequence import keep_first, number_rows
 
 ORDER = ("family", "seq", "pos")
 FIELDS = (*ORDER, "text", "score", "type", "source")
@@ -58,7 +58,7 @@ def count_by_source(entities: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def session_stats(documents: DataFrame, entities: DataFrame, redacted: DataFrame) -> DataFrame:
-    """One row: documents scanned, entities found, redaction targets applied."""
+    """One row: documents scanned, entities listed (detected and manual), redaction targets applied."""
     scanned = documents.agg(F.count(F.lit(1)).alias("scanned"))
     found = entities.agg(F.count(F.lit(1)).alias("entities"))
     done = redacted.agg(F.count(F.lit(1)).alias("redacted"))
@@ -87,17 +87,12 @@ def with_confidence(entities: DataFrame) -> DataFrame:
     )
 
 
-def paginate(entities: DataFrame, keys: Sequence[str] = ("doc_id",), per_page: int = PER_LIST_PAGE) -> DataFrame:
-    """List pages by falling score: adds n, page, total and the label "start-end of total"."""
+def paginate(
+    entities: DataFrame, keys: Sequence[str] = ("doc_id",), per_page: int = PER_LIST_PAGE, order: Sequence[str] = ("ord",)
+) -> DataFrame:
+    """List pages by falling score, equal ones in ``order``: adds n, page, total and the label "start-end of total"."""
     score = F.coalesce("score", F.lit(0.0))
-    numbered = number_rows(
-        entities,
-        keys,
-        buckets=[-score, F.floor(F.col("ord") / BUCKET)],
-        order=[score.desc(), F.col("ord")],
-        number="n",
-        total="total",
-    )
+    numbered = number_rows(entities, keys, [score.desc(), *[F.col(c) for c in order]], number="n", total="total")
     first = (F.col("page") - 1) * per_page + 1
     last = F.least(F.col("page") * per_page, F.col("total"))
     return numbered.withColumn("page", F.ceil(F.col("n") / per_page).cast("bigint")).withColumn(
@@ -112,11 +107,30 @@ def page_slice(pages: DataFrame, page: int) -> DataFrame:
 # --- manual entities --------------------------------------------------------------------------------
 
 
-def add_manual(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Append manual texts; a text already in the list is ignored."""
-    both = existing.select(*keys, F.lit(0).alias("batch"), "seq", "text").unionByName(
-        new.select(*keys, F.lit(1).alias("batch"), "seq", "text")
+def with_manual(
+    detected: DataFrame, manual: DataFrame, keys: Sequence[str] = ("doc_id",), order: Sequence[str] = ("page_no", "seq", "pos")
+) -> DataFrame:
+    """The list a reviewer sees: detected entities in their order, then the manual ones in theirs (``seq``), which are
+    certain. ``part`` (0 or 1) and the order columns give an entity's place."""
+    kinds = {c: detected.schema[c].dataType for c in order}
+    place = [(F.col("seq") if c == "seq" else F.lit(None)).cast(kinds[c]).alias(c) for c in order]
+    fields = ("text", "score", "type", "source")
+    certain = [F.lit(1.0).alias("score"), F.lit("manual").alias("type"), F.lit("manual").alias("source")]
+    return detected.select(*keys, F.lit(0).alias("part"), *order, *fields).unionByName(
+        manual.select(*keys, F.lit(1).alias("part"), *place, "text", *certain)
     )
+
+
+def add_manual(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Append manual texts; a text already in the list is ignored. Every call adds a later batch of each document."""
+    batched = "batch" in existing.columns
+    old = existing.select(*keys, (F.col("batch") if batched else F.lit(0)).alias("batch"), "seq", "text")
+    if batched:
+        last = existing.groupBy(*keys).agg((F.max("batch") + 1).alias("batch"))
+        more = new.select(*keys, "seq", "text").join(last, list(keys), "left").withColumn("batch", F.coalesce("batch", F.lit(1)))
+    else:
+        more = new.select(*keys, F.lit(1).alias("batch"), "seq", "text")
+    both = old.unionByName(more.select(*keys, "batch", "seq", "text"))
     return keep_first(both, keys, F.col("text"), ("batch", "seq"), ("batch", "seq", "text"))
 
 
@@ -153,10 +167,15 @@ def report_page(n: Column) -> Column:
     return F.when(n <= FIRST_REPORT_PAGE, 1).otherwise(later).cast("bigint")
 
 
-def report_lines(entities: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+def report_lines(entities: DataFrame, keys: Sequence[str] = ("doc_id",), order: Sequence[str] = ("ord",)) -> DataFrame:
     """Numbered report lines with their page: 26 on the first, 32 on the following ones."""
-    numbered = number_rows(
-        entities, keys, buckets=[F.floor(F.col("ord") / BUCKET)], order=[F.col("ord")], number="line_no"
-    )
+    numbered = number_rows(entities, keys, [F.col(c) for c in order], number="line_no")
     line = F.concat(F.col("line_no").cast("string"), F.lit(". "), F.col("text"))
     return numbered.select(*keys, report_page(F.col("line_no")).alias("report_page"), "line_no", line.alias("line"))
+
+
+def report_header(documents: DataFrame, run_date: str, name: str = "doc_id", keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """What stands above the first line of each document's report, as lines numbered below 1."""
+    lines = (F.lit("Redaction report"), F.lit(f"Generated: {run_date}"), F.concat(F.lit("Document: "), F.col(name).cast("string")), F.lit("Sensitive items:"))
+    rows = F.array(*[F.struct(F.lit(i + 1 - len(lines)).cast("bigint").alias("line_no"), x.alias("line")) for i, x in enumerate(lines)])
+    return documents.select(*keys, F.lit(1).cast("bigint").alias("report_page"), F.inline(rows))

@@ -1,8 +1,8 @@
 """Order-dependent building blocks that do not put a whole group into one task.
 
 A window over one key is processed by one task, so a key holding a large share of the rows would stall
-the job. Each helper here cuts a group into buckets of its order value, works inside the buckets, and
-carries a one-row summary per bucket across them.
+the job. Each helper here cuts a group into ranges or buckets of its order value, works inside them, and
+carries a one-row summary of each across them.
 """
 
 from __future__ import annotations
@@ -12,39 +12,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET = 100_000
-
+from inkveil.session import stored
 
 def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    buckets: Sequence[Column],
-    order: Sequence[Column],
-    number: str = "n",
-    total: str | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], number: str = "n", total: str | None = None
 ) -> DataFrame:
     """``row_number`` within ``keys``, optionally with the group's row count.
 
-    ``buckets`` must be monotone in ``order``: all rows of a lower bucket sort before those of a
-    higher one. The bucket summary holds one row per bucket, the only thing a single task sees whole.
+    The rows are sorted into ranges of (keys, order) whose boundaries are measured, so a large group lies in many ranges
+    and a range holds many small groups. A row's place in its range is known there; one row per range and group carries
+    the numbers across. The ranges are stored, for both readings have to see the same ones.
     """
-    names = [f"_b{i}" for i in range(len(buckets))]
-    rows = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
-    part = [*keys, *names]
-    across = Window.partitionBy(*keys).orderBy(*names)
-    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    before = F.coalesce(F.sum("_size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = stored(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")), "numbered")
+    names = [f"_k{i}" for i in range(len(keys))]
+    sizes = rows.groupBy(F.col("_range").alias("_r"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size")
+    )
+    group = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_size").over(group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(
-        *part,
-        before.alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias("_total"),
+        *names, "_r", (before + 1 - F.col("_first")).alias("_shift"), F.sum("_size").over(group).alias("_total")
     )
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    out = rows.withColumn("_local", local).join(offsets, part)
-    out = out.withColumn(number, (F.col("_before") + F.col("_local")).cast("bigint"))
+    same = F.col("_range") == F.col("_r")
+    for k, n in zip(keys, names):
+        same = same & rows[k].eqNullSafe(F.col(n))
+    out = rows.join(offsets, same).withColumn(number, (F.col("_place") + F.col("_shift")).cast("bigint"))
     if total:
         out = out.withColumn(total, F.col("_total"))
-    return out.drop(*names, "_before", "_total", "_local")
+    return out.drop(*names, "_range", "_place", "_r", "_shift", "_total")
 
 
 def keep_first(

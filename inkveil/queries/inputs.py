@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.dialect import collapse_ws
 from inkveil.functions.text import let
-from inkveil.operators.entities import drop_trivial
+from inkveil.operators.entities import drop_trivial, with_manual
 from inkveil.operators.scan import fast_rule_findings
 from inkveil.sources.files import spread
 
@@ -50,6 +50,7 @@ end"""
 REPLY_TEXT = """case page_no % 5 when 3 then 'NONE' when 4 then null
  else '- ' || replace(text, '. ', chr(10) || '1. ') end"""
 
+PLACE = ("page_no", "seq", "pos")
 CUSTOM_KEYWORDS = ("wood", "Élodie", "  ", "a+b")
 
 
@@ -106,10 +107,22 @@ def manual_entities(pages: DataFrame) -> DataFrame:
 
 
 def page_entities(pages: DataFrame) -> DataFrame:
-    """An entity table of multi-page documents: doc_id, ord, text, score, type, source."""
+    """An entity table of multi-page documents: doc_id, page_no, seq, pos, text, score, type, source."""
     found = drop_trivial(fast_rule_findings(pages, ("doc_id", "page_no")))
-    place = F.col("page_no") * 100_000 + F.col("seq") * 1_000 + F.col("pos")
-    return found.select("doc_id", place.alias("ord"), "text", "score", "type", "source")
+    return found.select("doc_id", *PLACE, "text", "score", "type", "source")
+
+
+def entity_list(pages: DataFrame) -> DataFrame:
+    """The same with the manual entities, and ``part`` before their place."""
+    return with_manual(page_entities(pages), manual_entities(pages))
+
+
+def review_events(pages: DataFrame) -> DataFrame:
+    """What a reviewer might do page by page: mostly add its longest or its first word, now and then something else."""
+    k = F.col("page_no") % 7
+    action = F.when(k == 3, "undo").when(k == 5, "remove").when(F.col("page_no") % 11 == 10, "clear").otherwise("add")
+    text = F.when(k % 2 == 0, longest_word(F.col("text"))).otherwise(F.element_at(F.split("text", " "), 1))
+    return pages.select("doc_id", F.col("page_no").alias("seq"), action.alias("action"), text.alias("text"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ DEEP = f"""SELECT doc_id, page_no, 1::BIGINT AS family, 0::BIGINT AS seq, ord AS
 
 # --- entities, targets, masks ---------------------------------------------------------------------------
 
-ENTITIES = f"""ents AS (SELECT doc_id, page_no * 100000 + seq * 1000 + pos AS ord, text, score, type, source
+ENTITIES = f"""ents AS (SELECT doc_id, page_no, seq, pos, text, score, type, source
   FROM ({not_trivial(fast_rows('pages_all', _PK))}))"""
 
 
@@ -286,9 +286,11 @@ pairs AS (SELECT i.doc_id, i.page_no, i.item_no, i.str, e.m FROM items i JOIN en
     OR len(list_filter(string_split(e.t, ' '), lambda w: contains(lower(i.str), w))) > 0)),
 flags AS (SELECT doc_id, page_no, item_no, bool_or(m) AS mm, bool_or(NOT m) AS dd FROM pairs GROUP BY ALL)"""
 
-PAGED = f"""{PAGES}, {ENTITIES},
-n1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, ord) AS n,
-  count(*) OVER (PARTITION BY doc_id) AS total FROM ents),
+LISTED = f"""{PAGES}, {ENTITIES}, {MANUAL}, listed AS (SELECT doc_id, 0::BIGINT AS part, page_no, seq, pos, text, score, type, source FROM ents
+  UNION ALL SELECT doc_id, 1, NULL, seq, NULL, text, 1.0, 'manual', 'manual' FROM manual)"""
+PAGED = f"""{LISTED},
+n1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, part, page_no, seq, pos) AS n,
+  count(*) OVER (PARTITION BY doc_id) AS total FROM listed),
 n2 AS (SELECT *, (n + 16) // 17 AS page FROM n1),
 paged AS (SELECT *, ((page - 1) * 17 + 1) || '-' || least(page * 17, total) || ' of ' || total AS label FROM n2)"""
 
@@ -364,8 +366,8 @@ def oracle() -> dict[str, str]:
     sql["preset_lookup"] = f"""SELECT event_id, preset_id, name FROM (SELECT event_id, ({ids})[event_id % {2 + len(ALL_PRESETS)} + 1] AS preset_id FROM events)
       JOIN (VALUES {table}) t(preset_id, name, description, n_rules, n_keywords, part) USING (preset_id)"""
 
-    sql["dedup_normalized"] = f"""WITH {PAGES}, {ENTITIES} SELECT doc_id, ord, text, score, type, source FROM (
-      SELECT *, row_number() OVER (PARTITION BY doc_id, lower({collapse('text')}) ORDER BY ord) AS rn FROM ents WHERE length({strip('text')}) > 2) WHERE rn = 1"""
+    sql["dedup_normalized"] = f"""WITH {PAGES}, {ENTITIES} SELECT doc_id, page_no, seq, pos, text, score, type, source FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id, lower({collapse('text')}) ORDER BY page_no, seq, pos) AS rn FROM ents WHERE length({strip('text')}) > 2) WHERE rn = 1"""
     sql["stopword_filter"] = (
         f"WITH {PAGES}, {ITEMS} SELECT doc_id, count(*) AS n_kept FROM items WHERE length(str) > 3 AND NOT {is_common('str')} GROUP BY doc_id"
     )
@@ -375,7 +377,7 @@ def oracle() -> dict[str, str]:
         f"FROM ({combined(FAST, pattern_findings('pages_all', _PK, ['legal-document']))}) GROUP BY doc_id"
     )
     sql["session_stats"] = (
-        f"WITH {TARGETS} SELECT (SELECT count(*) FROM documents) AS scanned, (SELECT count(*) FROM ents) AS entities, (SELECT count(*) FROM targets) AS redacted"
+        f"WITH {TARGETS} SELECT (SELECT count(*) FROM documents) AS scanned, (SELECT count(*) FROM ents) + (SELECT count(*) FROM manual) AS entities, (SELECT count(*) FROM targets) AS redacted"
     )
     sql["confidence_band"] = f"""WITH {PAGES}, {TOKENS}, s AS (SELECT doc_id, page_no, idx, CASE WHEN score >= 0.04 THEN score END AS score,
         CASE idx % 3 WHEN 0 THEN 'bert' WHEN 1 THEN 'regex' ELSE 'intel' END AS source FROM tokens)
@@ -388,12 +390,20 @@ def oracle() -> dict[str, str]:
       SELECT doc_id, batch, seq, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY batch, seq) AS rn FROM b) WHERE rn = 1"""
     sql["undo_manual"] = f"""WITH {PAGES}, {MANUAL} SELECT doc_id, seq, text FROM (
       SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS rn FROM manual) WHERE rn > 1"""
-    sql["remove_entities"] = f"WITH {PAGES}, {ENTITIES} SELECT * FROM ents WHERE ord % 5 <> 0"
+    sql["remove_entities"] = f"WITH {PAGES}, {ENTITIES} SELECT * FROM ents WHERE pos % 5 <> 0"
+    sql["review_log"] = f"""WITH {PAGES}, e AS (SELECT doc_id, page_no AS seq,
+        CASE WHEN page_no % 7 = 3 THEN 'undo' WHEN page_no % 7 = 5 THEN 'remove' WHEN page_no % 11 = 10 THEN 'clear' ELSE 'add' END AS a,
+        CASE WHEN page_no % 7 % 2 = 0 THEN {longest('text')} ELSE string_split(text, ' ')[1] END AS t FROM pages_all),
+      d AS (SELECT doc_id, list({{'a': a, 't': t, 's': seq, 'l': CAST([] AS STRUCT(t VARCHAR, s BIGINT)[])}} ORDER BY seq) AS es FROM e GROUP BY doc_id),
+      r AS (SELECT doc_id, list_reduce(list_prepend({{'a': '', 't': '', 's': 0::BIGINT, 'l': CAST([] AS STRUCT(t VARCHAR, s BIGINT)[])}}, es), lambda x, y: {{'a': '', 't': '', 's': 0::BIGINT,
+        'l': CASE y.a WHEN 'clear' THEN [] WHEN 'undo' THEN x.l[:-2] WHEN 'remove' THEN list_filter(x.l, lambda z: z.t <> y.t)
+          ELSE CASE WHEN y.t IS NULL OR trim(y.t) = '' OR list_contains(list_transform(x.l, lambda z: z.t), y.t) THEN x.l ELSE list_append(x.l, {{'t': y.t, 's': y.s}}) END END}}).l AS l FROM d)
+      SELECT doc_id, n, l[n].s AS seq, l[n].t AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM r)"""
     sql["entity_search"] = f"WITH {PAGES}, {ENTITIES} SELECT * FROM ents WHERE contains(lower(text), 'example.com')"
-    columns = "doc_id, ord, text, score, type, source, n, total, page, label"
+    columns = "doc_id, part, page_no, seq, pos, text, score, type, source, n, total, page, label"
     sql["paginate_entities"] = f"WITH {PAGED} SELECT {columns} FROM paged"
     sql["entity_page"] = f"WITH {PAGED} SELECT {columns} FROM paged WHERE page = 2"
-    sql["report_lines"] = f"""WITH {PAGES}, {ENTITIES}, n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS line_no FROM ents)
+    sql["report_lines"] = f"""WITH {LISTED}, n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY part, page_no, seq, pos) AS line_no FROM listed)
       SELECT doc_id, CASE WHEN line_no <= 26 THEN 1 ELSE 2 + (line_no - 27) // 32 END AS report_page, line_no, line_no || '. ' || text AS line FROM n"""
 
     sql["mask_preview"] = f"WITH {WITH_TARGETS} SELECT doc_id, {_MASK} AS masked FROM aimed"
@@ -430,6 +440,25 @@ def oracle() -> dict[str, str]:
     sql["highlight_priority"] = f"""WITH {ITEM_FLAGS} SELECT doc_id, page_no, CASE WHEN mm THEN 'manual' ELSE 'detected' END AS label, count(*) AS n_items
       FROM flags GROUP BY ALL"""
 
+    # Findings in the order of one scan over the whole document, the first of equal texts kept.
+    whole = (
+        "SELECT doc_id, family, CASE WHEN family = 0 THEN page_no ELSE seq END AS major, CASE WHEN family = 0 THEN seq ELSE page_no END AS minor, pos, "
+        "text, score, type, source FROM ({found})"
+    )
+    first = f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower({collapse('text')}) ORDER BY family, major, minor, pos) AS rn FROM ({{rows}})) WHERE rn = 1"
+    found = combined(FAST, pattern_findings("pages_all", _PK, COMBINED_PRESETS, CUSTOM_KEYWORDS))
+    sql["job_entities"] = f"WITH {PAGES}, {TOKENS}, {NER} {first.format(rows=whole.format(found=found))}"
+    long_enough = f"SELECT * FROM ({not_trivial(fast_rows('pages_all', _PK))}) WHERE length({strip('text')}) > 2"
+    sql["job_audit"] = f"""WITH {PAGES}, {MANUAL},
+      ents AS ({first.format(rows=whole.format(found=long_enough))}),
+      targets AS (SELECT doc_id, text FROM ents UNION SELECT doc_id, text FROM manual),
+      k AS (SELECT doc_id, count(*) AS n FROM targets GROUP BY doc_id),
+      h AS (SELECT doc_id, substr(sha256(string_agg(sha256(text), '' ORDER BY page_no)), 1, 16) AS h FROM pages_all GROUP BY doc_id),
+      clean AS (SELECT doc_id, {collapse('text')} AS target FROM targets WHERE regexp_matches(text, '\\S')),
+      r AS (SELECT p.doc_id, sum(len(string_split(lower(p.text), lower(c.target))) - 1)::BIGINT AS n FROM pages_all p JOIN clean c ON p.doc_id = c.doc_id GROUP BY p.doc_id)
+      SELECT 'REDACTION_START' AS action, h AS doc_hash, n AS n_entities, NULL::BIGINT AS n_redactions FROM h JOIN k USING (doc_id)
+      UNION ALL SELECT 'REDACTION_COMPLETE', h, NULL, coalesce(r.n, 0) FROM h JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
     sql["assemble_pages"] = f"SELECT conv_id AS doc_id, turn AS page_no, {collapse('text')} AS text FROM conversations"
     sql["assemble_document"] = (
         f"SELECT conv_id AS doc_id, 0::BIGINT AS part_no, {strip('string_agg(text, chr(10) || chr(10) ORDER BY turn)')} AS text, "

@@ -15,10 +15,12 @@ from inkveil.operators import entities as E
 from inkveil.operators import mask as M
 from inkveil.operators import scan as S
 from inkveil.operators.ner import merge_tokens
+from inkveil.operators.review import review_log as replay
+from inkveil.plans import job as J
 from inkveil.plans import scan as P
 from inkveil.plans.redaction import redact_documents
 from inkveil.queries import inputs as I
-from inkveil.session import stored
+from inkveil.session import scratch, stored
 from inkveil.sources import audit as A
 from inkveil.sources import files as SF
 from inkveil.sources.settings import parse_list, preset_catalog
@@ -201,8 +203,8 @@ def preset_lookup(spark, sf):
 
 @query
 def dedup_normalized(spark, sf):
-    cols = ("ord", "text", "score", "type", "source")
-    return E.keep_first_normalized(I.page_entities(I.all_pages(spark, sf)), ("doc_id",), ("ord",), cols)
+    cols = (*I.PLACE, "text", "score", "type", "source")
+    return E.keep_first_normalized(I.page_entities(I.all_pages(spark, sf)), ("doc_id",), I.PLACE, cols)
 
 
 @query
@@ -221,8 +223,8 @@ def counts_by_source(spark, sf):
 @query
 def session_stats(spark, sf):
     pages = I.all_pages(spark, sf)
-    detected = I.page_entities(pages)
-    return E.session_stats(I.documents(spark, sf), detected, E.target_set(detected, I.manual_entities(pages)))
+    listed = stored(I.entity_list(pages), "entities")
+    return E.session_stats(I.documents(spark, sf), listed, listed.select("doc_id", "text").distinct())
 
 
 @query
@@ -259,7 +261,12 @@ def undo_manual(spark, sf):
 @query
 def remove_entities(spark, sf):
     found = I.page_entities(I.all_pages(spark, sf))
-    return E.remove(found, found.where(F.col("ord") % 5 == 0))
+    return E.remove(found, found.where(F.col("pos") % 5 == 0), ("doc_id", *I.PLACE))
+
+
+@query
+def review_log(spark, sf):
+    return replay(I.review_events(I.all_pages(spark, sf)))
 
 
 @query
@@ -269,17 +276,17 @@ def entity_search(spark, sf):
 
 @query
 def paginate_entities(spark, sf):
-    return E.paginate(I.page_entities(I.all_pages(spark, sf)))
+    return E.paginate(I.entity_list(I.all_pages(spark, sf)), order=("part", *I.PLACE))
 
 
 @query
 def entity_page(spark, sf):
-    return E.page_slice(E.paginate(I.page_entities(I.all_pages(spark, sf))), 2)
+    return E.page_slice(E.paginate(I.entity_list(I.all_pages(spark, sf)), order=("part", *I.PLACE)), 2)
 
 
 @query
 def report_lines(spark, sf):
-    return E.report_lines(I.page_entities(I.all_pages(spark, sf)))
+    return E.report_lines(I.entity_list(I.all_pages(spark, sf)), order=("part", *I.PLACE))
 
 
 # --- masking ----------------------------------------------------------------------------------------
@@ -367,6 +374,24 @@ def highlight_priority(spark, sf):
     return flags.where(F.col("label").isNotNull()).groupBy("doc_id", "page_no", "label").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+# --- the job ------------------------------------------------------------------------------------------
+
+
+@query
+def job_entities(spark, sf):
+    pages = I.all_pages(spark, sf)
+    found = J.document_entities(pages, "fast", COMBINED_PRESETS, I.CUSTOM_KEYWORDS, I.tokens(pages))
+    return found.select("doc_id", "ord.*", "text", "score", "type", "source")
+
+
+@query
+def job_audit(spark, sf):
+    """The audit log of a whole job."""
+    pages = I.all_pages(spark, sf)
+    out = J.run(pages, scratch(spark, "job"), "2024-05-01", manual=I.manual_entities(pages))
+    return spark.read.parquet(out.audit).drop("ts")
+
+
 # --- sources, audit, small functions ------------------------------------------------------------------
 
 

@@ -40,17 +40,19 @@ def _own_folder() -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back, for steps that read it more than once.
-
-    A session on one machine that names no shared folder uses one of its process; a cluster has to name one.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate tables that all executors see. A session on one machine that names no shared folder
+    uses one of its process; a cluster has to name one."""
     on_one_machine = spark.sparkContext.master.split("[")[0] == "local"
     if on_one_machine and not spark.conf.get("spark.checkpoint.dir", None):
         path = f"file://{_own_folder()}/{name}"
     else:
         path = shared_folder(spark, name)
-    path = f"{path}-{uuid.uuid4().hex}"
+    return f"{path}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back, for steps that read it more than once."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

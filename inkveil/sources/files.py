@@ -88,8 +88,22 @@ def output_path(folder: str, run_date: str) -> str:
     return f"{folder.rstrip('/')}/redacted_{run_date}"
 
 
-def write_copy(redacted: DataFrame, source: str, target: str) -> None:
-    """Write redacted pages as a new table. The original is never overwritten, nor is an earlier copy."""
-    if source.rstrip("/") == target.rstrip("/"):
-        raise ValueError("the redacted copy must not replace its source")
+def resolved(spark: SparkSession, path: str) -> str:
+    """The path with scheme and host, so that two spellings of one place are equal."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+
+
+def write_copy(redacted: DataFrame, source: str | DataFrame, target: str) -> None:
+    """Write redacted pages as a new table. The original is never overwritten, nor is an earlier copy.
+
+    ``source`` is the original's path, or a frame that reads it: the copy may lie neither over nor among its files.
+    """
+    spark = redacted.sparkSession
+    own = resolved(spark, target)
+    files = [source] if isinstance(source, str) else source.inputFiles()
+    for file in {resolved(spark, f) for f in files}:
+        folder = file if isinstance(source, str) else file.rsplit("/", 1)[0]
+        if file == own or file.startswith(f"{own}/") or own == folder:
+            raise ValueError("the redacted copy must not replace its source")
     redacted.write.mode("errorifexists").parquet(target)

@@ -11,6 +11,7 @@ from inkveil.functions import spans as SP
 from inkveil.functions.dialect import any_case, collapse_ws, fold, strip_ws
 from inkveil.operators import entities as E
 from inkveil.operators import mask as M
+from inkveil.operators import review as R
 from inkveil.operators import scan as S
 from inkveil.operators.candidates import candidates
 from inkveil.operators.ner import merge_tokens, tag_documents
@@ -81,7 +82,7 @@ def test_number_rows_equals_plain_numbering(spark):
     rows = [(rng.choice("ab"), i, rng.choice([0.5, 0.9, None])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ord long, score double").repartition(4)
     score = F.coalesce("score", F.lit(0.0))
-    got = number_rows(df, ["k"], [-score, F.floor(F.col("ord") / 7)], [score.desc(), F.col("ord")], "n", "total").collect()
+    got = number_rows(df, ["k"], [score.desc(), F.col("ord")], "n", "total").collect()
     for k in "ab":
         want = sorted((r for r in rows if r[0] == k), key=lambda r: (-(r[2] or 0), r[1]))
         assert [r.ord for r in sorted((g for g in got if g.k == k), key=lambda g: g.n)] == [r[1] for r in want]
@@ -418,7 +419,64 @@ def test_item_flags_either_way(spark, per_row):
     assert {(r.doc_id, r.page_no, r.item_no): (r.is_manual, r.is_detected) for r in got.collect()} == want
 
 
+# --- the manual list ----------------------------------------------------------------------------------
+
+
 def test_undo_takes_back_the_last_batch_first(spark):
     old = spark.createDataFrame([(1, i, t) for i, t in enumerate("abc")], "doc_id int, seq int, text string")
-    new = spark.createDataFrame([(1, 0, "d")], "doc_id int, seq int, text string")
-    assert sorted(r.text for r in E.undo_manual(E.add_manual(old, new)).collect()) == ["a", "b", "c"]
+    new = lambda t: spark.createDataFrame([(1, 0, t), (2, 0, t)], "doc_id int, seq int, text string")
+    texts = lambda df: sorted(r.text for r in df.where("doc_id = 1").collect())
+    both = E.add_manual(E.add_manual(old, new("d")), new("e"))
+    once = E.undo_manual(both)
+    assert texts(both) == list("abcde") and texts(once) == list("abcd") and texts(E.undo_manual(once)) == list("abc")
+
+
+def replay_plainly(events):
+    live = []
+    for action, text in events:
+        if action == "add" and text and text.strip() and text not in live:
+            live.append(text)
+        elif action == "undo" and live:
+            live.pop()
+        elif action == "remove" and text in live:
+            live.remove(text)
+        elif action == "clear":
+            live = []
+    return live
+
+
+def test_review_log_equals_a_stack(spark):
+    rng = random.Random(9)
+    logs = {d: [(rng.choice(["add"] * 6 + ["undo", "undo", "remove", "clear" if (d or 0) % 3 == 0 else "add", "look"]), rng.choice(["a", "b", "c", "d e", " ", None]))
+                for _ in range(rng.randint(1, 60))] for d in [None, *range(40)]}
+    rows = [(d, n * 10**7, a, t) for d, log in logs.items() for n, (a, t) in enumerate(log)]
+    rng.shuffle(rows)
+    events = spark.createDataFrame(rows, "doc_id long, seq long, action string, text string")
+    got = R.review_log(events).orderBy("doc_id", "n").collect()
+    for d, log in logs.items():
+        mine = [r for r in got if r.doc_id == d]
+        assert [r.text for r in mine] == replay_plainly(log) and [r.n for r in mine] == list(range(1, len(mine) + 1))
+        assert [r.seq for r in mine] == sorted(r.seq for r in mine) and all(log[r.seq // 10**7] == ("add", r.text) for r in mine)
+    assert R.review_log(events.limit(0)).count() == 0
+
+
+def test_manual_entities_are_listed_and_counted(spark):
+    auto = spark.createDataFrame([(1, 1, 0, 1, "a", 0.9, "x", "regex"), (1, 1, 0, 2, "b", 1.0, "x", "bert")],
+                                 "doc_id int, page_no long, seq int, pos int, text string, score double, type string, source string")
+    both = E.with_manual(auto, spark.createDataFrame([(1, 5, "m"), (2, 1, "n")], "doc_id int, seq int, text string"))
+    listed = E.paginate(both, order=("part", "page_no", "seq", "pos")).orderBy("doc_id", "n").collect()
+    assert [(r.text, r.source, r.label) for r in listed] == [
+        ("b", "bert", "1-3 of 3"), ("m", "manual", "1-3 of 3"), ("a", "regex", "1-3 of 3"), ("n", "manual", "1-1 of 1")]
+    lines = E.report_lines(both, order=("part", "page_no", "seq", "pos")).where("doc_id = 1").orderBy("line_no").collect()
+    assert [r.line for r in lines] == ["1. a", "2. b", "3. m"]
+
+
+def test_one_large_document_is_numbered_in_many_tasks(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("doc_id"), F.struct((F.col("id") * 10**7).alias("page"), F.lit(2000).alias("pos")).alias("ord"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would be one task
+    try:
+        got = number_rows(df.repartition(7), ["doc_id"], [F.col("ord")], "n", "total")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.where("n <> ord.page / 10000000 + 1 or total <> 200000").count() == 0
+    assert len(set(got.inputFiles())) == 8  # as many ranges as partitions, though there is one document

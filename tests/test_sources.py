@@ -86,14 +86,72 @@ def test_shared_folder():
     assert shared_folder(session("/shared/"), "x") == "/shared/x"
 
 
+JOB_PAGES = [(1, 1, "Signed: Ann Lee"), (1, 2, "ANN LEE wrote to bob@x.org"), (2, 1, "nothing here"), (1, 10**7, "ann  lee, 12/25/2023")]
+PAGES = "doc_id long, page_no long, text string"
+
+
 def test_job(spark, tmp_path):
-    pages = spark.createDataFrame(
-        [(1, 1, "Signed: Ann Lee"), (1, 2, "ANN LEE wrote to bob@x.org"), (2, 1, "nothing here")], "doc_id long, page_no long, text string")
-    manual = spark.createDataFrame([(1, "wrote")], "doc_id long, text string")
+    pages = spark.createDataFrame(JOB_PAGES, PAGES)
+    manual = spark.createDataFrame([(1, "wrote"), (1, "wrote")], DOCS)
     out = run(pages, str(tmp_path), "2024-05-01", presets=["legal-document"], manual=manual)
     text = {(r.doc_id, r.page_no): r.text for r in spark.read.parquet(out.redacted).collect()}
-    assert text == {(1, 1): "Signed: ███████", (1, 2): "███████ █████ to █████████", (2, 1): "nothing here"}
+    assert text == {(1, 1): "Signed: ███████", (1, 2): "███████ █████ to █████████", (2, 1): "nothing here", (1, 10**7): "ann  lee, ██████████"}
+    # one list for the document: "ANN LEE" and "ann  lee" of later pages are "Ann Lee" again; manual entities stand last
+    found = spark.read.parquet(out.entities).orderBy("ord").collect()
+    assert [r.text for r in found].count("Ann Lee") == 1 and not {"ANN LEE", "ann  lee"} & {r.text for r in found}
     lines = [r.line for r in spark.read.parquet(out.report).where("doc_id = 1").orderBy("line_no").collect()]
-    assert lines[0] == "1. Ann Lee" and "2. bob@x.org" in lines
-    log = spark.read.parquet(out.audit).collect()
-    assert {r.action for r in log} == {"REDACTION_START", "REDACTION_COMPLETE"} and len(log) == 2
+    assert lines[:3] == ["Redaction report", "Generated: 2024-05-01", "Document: 1"]
+    assert [x.split(". ", 1)[1] for x in lines[4:]] == [r.text for r in found] + ["wrote"]
+    log = spark.read.parquet(out.audit).orderBy("ts").collect()
+    assert [(r.action, r.n_entities, r.n_redactions) for r in log] == [
+        ("REDACTION_START", len(found) + 1, None), ("REDACTION_COMPLETE", None, sum(r.n_redactions for r in spark.read.parquet(out.redacted).collect()))]
+    assert tuple(spark.read.parquet(out.stats).first()) == (2, len(found) + 1, len(found) + 1)
+
+
+def test_job_goes_on_where_it_failed(spark, tmp_path, monkeypatch):
+    from inkveil.plans import job
+
+    pages = spark.createDataFrame(JOB_PAGES, PAGES)
+    again = lambda **more: run(pages.repartition(3), str(tmp_path), "2024-05-01", **more)
+    scans = []
+    scan = job.scan
+    monkeypatch.setattr(job, "scan", lambda *a, **k: scans.append(1) or scan(*a, **k))
+
+    def broken(pages, targets):
+        raise RuntimeError("no disk")
+
+    with monkeypatch.context() as m:
+        m.setattr(job, "redact_pages", broken)
+        with pytest.raises(RuntimeError):
+            again()
+    log = lambda: sorted(r.action for r in spark.read.parquet(str(tmp_path / "audit")).collect())
+    assert log() == ["REDACTION_ERROR", "REDACTION_START"] and len(scans) == 1
+    first = again()
+    assert len(scans) == 1  # the entities were stored
+    assert log() == ["REDACTION_COMPLETE", "REDACTION_ERROR", "REDACTION_START"]
+    assert again() == first and len(log()) == 3
+    other = again(presets=["identity"])  # another job does not take these stages
+    assert len(scans) == 2 and other.entities != first.entities
+
+
+def test_job_takes_out_by_place(spark, tmp_path):
+    pages = spark.createDataFrame([(1, p, " ".join(f"u{i}@x{p}.org" for i in range(2000))) for p in (1, 10**7)], PAGES)
+    out = run(pages, str(tmp_path / "a"), "2024-05-01")
+    found = spark.read.parquet(out.entities)
+    assert found.count() == 4000 == found.select("doc_id", "ord").distinct().count()
+    gone = found.where("text = 'u7@x1.org'").select("doc_id", "ord")
+    out = run(pages, str(tmp_path / "b"), "2024-05-01", removed=gone)
+    kept = spark.read.parquet(out.redacted).orderBy("page_no").collect()
+    assert [r.n_redactions for r in kept] == [1999, 2000] and "u7@x1.org" in kept[0].text and "@" not in kept[1].text
+
+
+def test_copy_guard_resolves_paths(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], DOCS)
+    df.write.parquet(str(tmp_path / "in"))
+    back = spark.read.parquet(str(tmp_path / "in"))
+    for source in (back, f"file://{tmp_path}/in/", f"file:{tmp_path}/in"):
+        with pytest.raises(ValueError):
+            SF.write_copy(df, source, f"{tmp_path}/in")
+    with pytest.raises(ValueError):
+        SF.write_copy(df, back, f"file://{tmp_path}")
+    SF.write_copy(df, back, f"{tmp_path}/out")
