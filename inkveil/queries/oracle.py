@@ -11,8 +11,8 @@ from inkveil.catalog.dictionaries import ALL_PRESETS, COMMON_WORDS, PRESETS
 from inkveil.catalog.rules import COMMON_RULES, DEEP_RULES, FAST_NAME_RULES, FAST_RULES, NAME_RULES, Rule
 from inkveil.functions.dialect import re2_regex
 from inkveil.functions.text import PROMPT_HEAD, PROMPT_TAIL
-from inkveil.queries.inputs import CUSTOM_KEYWORDS, RECORD_TEXT, REPLY_TEXT
-from inkveil.queries.registry import CALLER_RULES, COMBINED_PRESETS, EVERY_RULE, RULE_FAMILIES
+from inkveil.queries.inputs import CALLER_RULES, CUSTOM_KEYWORDS, RECORD_TEXT, REPLY_TEXT
+from inkveil.queries.registry import COMBINED_PRESETS, EVERY_RULE, RULE_FAMILIES
 
 _FAST = FAST_RULES + FAST_NAME_RULES
 
@@ -309,7 +309,14 @@ def oracle() -> dict[str, str]:
         f"WITH {ALL_DOCS} SELECT rule, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs "
         f"FROM ({rule_rows('all_docs', EVERY_RULE)}) GROUP BY rule"
     )
-    sql["rules_cross"] = f"WITH {DOCS} SELECT doc_id, rule, pos, match FROM ({rule_rows('docs', CALLER_RULES)})"
+    words = "string_split(text, ' ')"
+    table = f"""SELECT 'W' || item_id AS rule, CASE WHEN item_id % 2 = 0 THEN '(?i)' ELSE '' END || {esc(words + '[3]')} || '\\s+' || {esc(words + '[4]')} AS re
+      FROM benchmark WHERE len({words}) > 3"""
+    from_items = f"SELECT doc_id, rule, regexp_extract_all(text, re) AS h FROM all_docs, (SELECT DISTINCT * FROM ({table}))"
+    sql["rules_cross"] = f"""WITH {ALL_DOCS} SELECT doc_id, rule, pos, match FROM ({rule_rows('all_docs', CALLER_RULES)})
+      UNION ALL SELECT doc_id, rule, unnest(range(1, len(h) + 1)), unnest(h) FROM ({from_items})"""
+    sql["rules_led"] = sql["rules_cross"]
+    sql["rules_rejected"] = "SELECT 'R' || r_regionkey AS rule, '(' || r_name AS pattern FROM region"
     urls = [r for r in EVERY_RULE if r.rule_id in ("C16", "C17", "A09")]
     sql["scan_urls"] = f"SELECT page_id, rule, pos, match FROM ({rule_rows('pages', urls, 'page_id', 'url')})"
     sql["scan_deep_rules"] = (
@@ -346,6 +353,28 @@ def oracle() -> dict[str, str]:
         f"SELECT doc_id, length(p) AS n_chars, md5(p) AS digest FROM "
         f"(SELECT doc_id, {lit(PROMPT_HEAD)} || left(text, 3000) || {lit(PROMPT_TAIL)} AS p FROM documents)"
     )
+    def chunks(size: int, overlap: int) -> str:
+        step = size - overlap
+        last = f"greatest(0, (length(text) - {overlap} - 1) // {step})"
+        return f"""SELECT doc_id, k::BIGINT AS chunk_no, (k * {step})::BIGINT AS start, substr(text, CAST(1 + k * {step} AS BIGINT), {size}) AS text
+          FROM (SELECT doc_id, text, unnest(range(0, {last} + 1)) AS k FROM documents)"""
+
+    sql["llm_prompt_chunks"] = f"""SELECT doc_id, chunk_no, start, length(p) AS n_chars, md5(p) AS digest FROM
+      (SELECT doc_id, chunk_no, start, {lit(PROMPT_HEAD)} || text || {lit(PROMPT_TAIL)} AS p FROM ({chunks(3000, 300)}))"""
+    replies = REPLY_TEXT.replace("page_no", "chunk_no")
+    sql["llm_reply_chunks"] = f"""WITH r AS (SELECT doc_id, chunk_no, {replies} AS reply FROM ({chunks(1000, 100)})),
+      i AS (SELECT doc_id, chunk_no, unnest(range(0, len(items))) AS pos, unnest(items) AS text
+        FROM (SELECT doc_id, chunk_no, {REPLY_ITEMS} AS items FROM r WHERE reply IS NOT NULL AND NOT {NOTHING}))
+      SELECT doc_id, chunk_no, pos, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY chunk_no, pos) AS rn FROM i) WHERE rn = 1"""
+    # One text, not chunks: the numbers of tokens are places in it.
+    whole = f"""w AS (SELECT doc_id, i, w, coalesce(upper(w[1]) = w[1] AND lower(w[1]) <> w[1], false) AS cap,
+        sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS place
+        FROM (SELECT doc_id, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))),
+      t AS (SELECT doc_id, place::BIGINT AS idx, cap, (CASE WHEN lag(cap) OVER (PARTITION BY doc_id ORDER BY i) THEN 'I-' ELSE 'B-' END) || CASE WHEN length(w) % 4 = 0 THEN 'LOC' ELSE 'PER' END AS entity,
+        w AS word, (length(w) * 37 % 100)::DOUBLE / 100 AS score FROM w),
+      tokens AS (SELECT 0 AS page_no, * FROM t WHERE cap)"""
+    sql["ner_chunks"] = f"WITH {whole}, {NER} SELECT * EXCLUDE (page_no) FROM ({NER_ROWS})"
+    sql["ner_merge_legacy"] = f"WITH {PAGES}, {TOKENS}, {NER.replace('score >= 0.5', 'score >= 0.85')} {NER_ROWS}"
     sql["scan_deep"] = f"WITH {PAGES}, {TOKENS}, {NER}, {REPLIES} {DEEP}"
     sql["scan_combined"] = (
         f"WITH {PAGES}, {TOKENS}, {NER} "
@@ -503,6 +532,9 @@ def oracle() -> dict[str, str]:
       k AS (SELECT h, len(t) AS nt, coalesce(list_sum(list_transform(t, lambda x: len(string_split(lower(text), lower({collapse('x')}))) - 1)), 0)::BIGINT AS nr FROM n WHERE len(t) > 0)
       SELECT 'REDACTION_START' AS action, h AS doc_hash, nt AS n_entities, NULL::BIGINT AS n_redactions FROM k
       UNION ALL SELECT 'REDACTION_COMPLETE', h, NULL, nr FROM k"""
+    sql["audit_lines"] = """SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z] ' || CASE WHEN event_id % 2 = 0 THEN 'REDACTION_START' ELSE 'REDACTION_COMPLETE' END
+      || ': file_hash=' || substr(sha256(event_type), 1, 16) || coalesce(', ' || CASE WHEN event_id % 2 = 0 THEN 'entities=' ELSE 'redactions=' END
+      || CAST(json_extract_string(props, '$.k') AS BIGINT), '') AS line FROM events"""
     sql["doc_hash"] = "SELECT doc_id, substr(sha256(text), 1, 16) AS audit_hash, substr(md5(text), 1, 8) AS name_hash FROM documents"
     sql["text_forms"] = f"""SELECT doc_id, {collapse('text')} AS collapsed, lower({collapse('text')}) AS norm_key, {html('text')} AS html,
       CASE WHEN length(text) > 25 THEN left(text, 25) || '...' ELSE text END AS short_label FROM documents"""

@@ -14,8 +14,10 @@ from inkveil.functions.dialect import collapse_ws
 from inkveil.operators import entities as E
 from inkveil.operators import mask as M
 from inkveil.operators import scan as S
-from inkveil.operators.ner import merge_tokens
+from inkveil.operators.chunks import chunk_texts, stitch_replies, stitch_tokens
+from inkveil.operators.ner import merge_tokens, tag_chunks
 from inkveil.operators.review import review_log as replay
+from inkveil.operators.rule_table import rejected_rules, scan_rule_table
 from inkveil.plans import job as J
 from inkveil.plans import scan as P
 from inkveil.plans.redaction import redact_documents
@@ -43,12 +45,6 @@ RULE_FAMILIES = {
     "scan_legacy_rules": R.LEGACY_RULES,
 }
 EVERY_RULE = tuple(r for family in RULE_FAMILIES.values() for r in family) + R.DEEP_RULES
-# Rules a caller might bring along; boundaries are tested both ways unless told otherwise.
-CALLER_RULES = (
-    R.Rule("U1", r"\b[0-9a-f]{40}\b", soft="LR"),
-    R.Rule("U2", r"\bLicen[cs]ed?\s+under\b", ignore_case=True, soft="LR"),
-    R.Rule("U3", r"\bVersion\s+(\d+(?:\.\d+)?)", ignore_case=True, group=1, soft="LR"),
-)
 COMBINED_PRESETS = ("bank-statement", "tax-form", "identity")
 
 
@@ -88,7 +84,18 @@ def rule_histogram(spark, sf):
 
 @query
 def rules_cross(spark, sf):
-    return S.scan_rules(I.documents(spark, sf), CALLER_RULES)
+    return scan_rule_table(I.all_docs(spark, sf), I.rule_table(spark, sf))
+
+
+@query
+def rules_led(spark, sf):
+    """The same when the table is too long for a projection."""
+    return scan_rule_table(I.all_docs(spark, sf), I.rule_table(spark, sf), planned=1)
+
+
+@query
+def rules_rejected(spark, sf):
+    return rejected_rules(I.rule_table(spark, sf)).select("rule", "pattern")
 
 
 @query
@@ -157,6 +164,34 @@ def llm_prompt(spark, sf):
     return docs.select("doc_id", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
 
 
+@query
+def llm_prompt_chunks(spark, sf):
+    """Every character of a text is asked about."""
+    chunks = chunk_texts(I.documents(spark, sf), 3000, 300)
+    asked = chunks.select("doc_id", "chunk_no", "start", T.extraction_prompt(F.col("text")).alias("prompt"))
+    return asked.select("doc_id", "chunk_no", "start", F.length("prompt").alias("n_chars"), F.md5("prompt").alias("digest"))
+
+
+@query
+def ner_chunks(spark, sf):
+    """Entities of whole texts, tagged in chunks."""
+    chunks = chunk_texts(I.documents(spark, sf), 2000, 400)
+    return merge_tokens(stitch_tokens(tag_chunks(chunks, I.tag_words), chunks, 2000, 400))
+
+
+@query
+def llm_reply_chunks(spark, sf):
+    """Items of whole texts, from replies to chunks."""
+    chunks = chunk_texts(I.documents(spark, sf), 1000, 100)
+    return stitch_replies(chunks.withColumn("reply", F.expr(I.REPLY_TEXT.replace("page_no", "chunk_no"))))
+
+
+@query
+def ner_merge_legacy(spark, sf):
+    """The threshold of the superseded first version."""
+    return merge_tokens(I.tokens(I.all_pages(spark, sf)), PAGE_KEYS, min_score=0.85)
+
+
 @query
 def scan_deep(spark, sf):
     pages = I.all_pages(spark, sf)
@@ -504,6 +539,21 @@ def audit_redaction(spark, sf):
     return A.redaction_audit(done.withColumn("doc_hash", T.audit_hash(F.col("text"))))
 
 
+@query
+def audit_lines(spark, sf):
+    """Audit records as log lines."""
+    n = F.get_json_object("props", "$.k").cast("bigint")
+    records = I.table(spark, sf, "events").select(
+        "event_id",
+        "ts",
+        F.when(F.col("event_id") % 2 == 0, "REDACTION_START").otherwise("REDACTION_COMPLETE").alias("action"),
+        T.audit_hash(F.col("event_type")).alias("doc_hash"),
+        F.when(F.col("event_id") % 2 == 0, n).alias("n_entities"),
+        F.when(F.col("event_id") % 2 == 1, n).alias("n_redactions"),
+    )
+    return records.select("event_id", A.audit_text().alias("line"))
+
+
 @query
 def doc_hash(spark, sf):
     return I.documents(spark, sf).select(

@@ -20,9 +20,9 @@ def format_list(values: Column) -> Column:
 def preset_catalog(spark: SparkSession) -> DataFrame:
     """Presets with the number of their rules and keywords."""
     rows = [
-        (p.preset_id, p.name, p.icon, p.description, len(p.rules), len(p.keywords)) for p in PRESETS.values()
+        (p.preset_id, p.name, p.description, len(p.rules), len(p.keywords)) for p in PRESETS.values()
     ]
     return spark.createDataFrame(
         rows,
-        "preset_id string, name string, icon string, description string, n_rules bigint, n_keywords bigint",
+        "preset_id string, name string, description string, n_rules bigint, n_keywords bigint",
     )

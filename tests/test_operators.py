@@ -1,6 +1,7 @@
 """Operators against worked examples and brute force."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -14,10 +15,13 @@ from inkveil.operators import mask as M
 from inkveil.operators import review as R
 from inkveil.operators import scan as S
 from inkveil.operators.candidates import candidates
-from inkveil.operators.ner import merge_tokens, tag_documents
+from inkveil.operators import chunks as C
+from inkveil.operators import rule_table
+from inkveil.operators.ner import merge_tokens, tag_chunks, tag_documents
 from inkveil.operators.sequence import number_rows
 from inkveil.plans import scan as P
 from inkveil.plans.redaction import redact_documents
+from inkveil.queries.inputs import tag_words
 
 
 def one(spark, column, **values):
@@ -480,3 +484,78 @@ def test_one_large_document_is_numbered_in_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got.where("n <> ord.page / 10000000 + 1 or total <> 200000").count() == 0
     assert len(set(got.inputFiles())) == 8  # as many ranges as partitions, though there is one document
+
+
+# --- rules as a table ---------------------------------------------------------------------------------
+
+RULE_ROWS = "rule string, pattern string, ignore_case boolean, group_no int"
+
+
+def test_required_text():
+    cases = {r"\bLicen[cs]ed?\s+under\b": "Licen", r"abc?d": "ab", r"ab|cdef": "", r"(?:foo)bar": "bar", r"a+bc": "bc", r"x{2}yz": "yz",
+             r"\d{4}": "", r"a\.b\$c": "a.b$c", r"[abc]def[^]x]g": "def", r"lo*ng": "ng", r"(a|b)cd(e)?fgh": "fgh", "": "", r"ab+c": "ab", r"a\d+bcd*": "bc"}
+    assert {p: rule_table.required_text(p) for p in cases} == cases
+
+
+@pytest.mark.parametrize("planned", [0, 2, 256])
+def test_rule_table(spark, planned):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcA1.") for _ in range(rng.randint(1, n)))
+    patterns = ["(" + word(4), "[" + word(2), "*a", r"a(b)c", r"\d\d+", r"a[bc]+A", r"cab?c", r"(?:ab|ca)1"] + [word(4).replace(".", r"\.") for _ in range(12)]
+    rows = [(f"R{i}", p, i % 2 == 0, 0) for i, p in enumerate(patterns)] + [("G", "a(b)c", False, 1), ("H", "abc", True, 3), (None, "a", True, 0), ("N", None, True, 0), ("D", "ab", True, None)]
+    rules = spark.createDataFrame(rows, RULE_ROWS)
+    texts = [(i, j, word(60)) for i in range(20) for j in range(2)] + [(99, 0, None), (99, 1, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, page_no long, text string")
+    got = rule_table.scan_rule_table(docs, rules, ("doc_id", "page_no"), planned=planned).collect()
+    want, bad = set(), set()
+    for name, pattern, ignore, group in rows:
+        try:
+            plain = re.compile(pattern, re.IGNORECASE if ignore else 0)
+            if name is None or (group or 0) > plain.groups:
+                raise re.error("no")
+        except (re.error, TypeError):
+            bad.add((name, pattern))
+            continue
+        want |= {(d, p, name, k + 1, m[group or 0]) for d, p, t in texts for k, m in enumerate(plain.finditer(t or ""))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert {(r.rule, r.pattern) for r in rule_table.rejected_rules(rules).collect()} == bad
+    assert rule_table.scan_rule_table(docs, rules.limit(0)).count() == 0
+
+
+def test_rule_table_is_no_corpus(spark, monkeypatch):
+    monkeypatch.setattr(rule_table, "MAX_BYTES", 10)
+    with pytest.raises(ValueError):
+        rule_table.checked_rules(spark.createDataFrame([("A", "x" * 11, False, 0)], RULE_ROWS))
+
+
+# --- chunks -------------------------------------------------------------------------------------------
+
+
+def test_chunks_cover_the_text(spark):
+    texts = ["", None, "a", "é𝄞" * 5, "x" * 16, "abcdefgh" * 4 + "i", "y" * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for size, overlap in ((10, 4), (10, 5), (8, 0)):
+        rows = C.chunk_texts(df, size, overlap).collect()
+        for d, t in enumerate(texts):
+            mine = sorted((r for r in rows if r.doc_id == d), key=lambda r: r.chunk_no)
+            t = t or ""
+            assert [r.chunk_no for r in mine] == list(range(len(mine))) and {r.n_chunks for r in mine} == {len(mine)}
+            assert all(r.text == t[r.start : r.start + size] and r.start == r.chunk_no * (size - overlap) for r in mine)
+            assert mine[-1].start + len(mine[-1].text) == len(t) and (len(mine) == 1 or len(mine[-1].text) > overlap)
+    with pytest.raises(ValueError):
+        C.chunk_texts(df, 10, 6)
+
+
+def test_entities_of_chunks_are_those_of_the_text(spark):
+    rng = random.Random(10)
+    word = lambda: rng.choice([str.upper, str.lower, str.title])("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))))
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randint(0, 300)))) for i in range(10)], "doc_id long, text string")
+    entities = lambda size, overlap: sorted(tuple(r) for r in merge_tokens(
+        C.stitch_tokens(tag_chunks(C.chunk_texts(docs, size, overlap), tag_words), C.chunk_texts(docs, size, overlap), size, overlap)).collect())
+    assert entities(100, 50) == entities(10**6, 0) != []
+
+
+def test_replies_of_chunks(spark):
+    rows = [(1, 0, "Ann\nBob"), (1, 1, "Bob\nCy"), (1, 2, "NONE"), (1, 3, None), (2, 0, "no pii")]
+    got = C.stitch_replies(spark.createDataFrame(rows, "doc_id int, chunk_no int, reply string")).orderBy("chunk_no", "pos").collect()
+    assert [(r.doc_id, r.chunk_no, r.text) for r in got] == [(1, 0, "Ann"), (1, 0, "Bob"), (1, 1, "Cy")]

@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from inkveil.queries.registry import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "events documents pages conversations orders customer labels benchmark".split()
+TABLES = "events documents pages conversations orders customer labels benchmark region".split()
 SQL = oracle_sql()
 
 
