@@ -497,7 +497,7 @@ def test_required_text():
     assert {p: rule_table.required_text(p) for p in cases} == cases
 
 
-@pytest.mark.parametrize("planned", [0, 2, 256])
+@pytest.mark.parametrize("planned", [1, 2, 256])
 def test_rule_table(spark, planned):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choice("abcA1.") for _ in range(rng.randint(1, n)))
