@@ -33,7 +33,8 @@ def chunk_array(text: Column, size: int, overlap: int) -> Column:
             ),
         )
         # the last piece may lie wholly in the chunk before
-        return F.filter(chunks, lambda c: (c["chunk_no"] == 0) | (F.length(F.get(pieces, c["chunk_no"])) > overlap))
+        needed = lambda c: (c["chunk_no"] < F.size(pieces) - 1) | (F.length(F.get(pieces, c["chunk_no"])) > overlap)
+        return F.filter(chunks, lambda c: (c["chunk_no"] == 0) | needed(c))
 
     empty = F.array(F.struct(F.lit(0).alias("chunk_no"), F.lit(0).alias("start"), F.lit("").alias("text")))
     return let(cut, lambda pieces: F.when(F.size(pieces) > 0, joined(pieces)).otherwise(empty))
