@@ -408,6 +408,9 @@ def oracle() -> dict[str, str]:
     sql["session_stats"] = (
         f"WITH {TARGETS} SELECT (SELECT count(*) FROM documents) AS scanned, (SELECT count(*) FROM ents) + (SELECT count(*) FROM manual) AS entities, (SELECT count(*) FROM targets) AS redacted"
     )
+    sql["running_stats"] = """WITH f AS (SELECT user_id, event_type AS source, min(ts) AS ts FROM events GROUP BY user_id, event_type),
+      w AS (SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS begins, source, count(*) AS n_found FROM f GROUP BY ALL)
+      SELECT *, sum(n_found) OVER (PARTITION BY source ORDER BY begins)::BIGINT AS n_total FROM w"""
     sql["confidence_band"] = f"""WITH {PAGES}, {TOKENS}, s AS (SELECT doc_id, page_no, idx, CASE WHEN score >= 0.04 THEN score END AS score,
         CASE idx % 3 WHEN 0 THEN 'bert' WHEN 1 THEN 'regex' ELSE 'intel' END AS source FROM tokens)
       SELECT *, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS band,

@@ -26,6 +26,7 @@ from inkveil.session import scratch, stored
 from inkveil.sources import audit as A
 from inkveil.sources import files as SF
 from inkveil.sources.settings import parse_list, preset_catalog
+from inkveil.streaming.stats import batch_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,6 +263,15 @@ def session_stats(spark, sf):
     return E.session_stats(I.documents(spark, sf), listed, listed.select("doc_id", "text").distinct())
 
 
+@query
+def running_stats(spark, sf):
+    """First findings per day of event time; a user's events of one type are equal findings."""
+    found = I.table(spark, sf, "events").select(
+        "ts", F.col("user_id").alias("doc_id"), F.col("event_type").alias("text"), F.col("event_type").alias("source")
+    )
+    return batch_stats(found, "1 day").withColumn("begins", F.unix_micros("begins"))
+
+
 @query
 def confidence_band(spark, sf):
     scored = I.tokens(I.all_pages(spark, sf)).select(

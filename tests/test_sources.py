@@ -1,5 +1,9 @@
 """Reading, writing, audit, streaming, and the whole job."""
 
+import datetime
+import json
+import os
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -11,6 +15,7 @@ from inkveil.session import shared_folder
 from inkveil.sources import audit as A
 from inkveil.sources import files as SF
 from inkveil.sources.settings import format_list, parse_list, preset_catalog
+from inkveil.streaming.stats import batch_stats, first_findings, stream_first_findings, window_stats, write_first_findings
 from inkveil.streaming.stream import read_stream, redact_stream, write_stream
 
 DOCS = "doc_id long, text string"
@@ -77,6 +82,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert "@" not in want.first().text
 
 
+def test_stream_statistics_equal_batch(spark, tmp_path):
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 5, 1)
+    after = lambda minutes: start + datetime.timedelta(minutes=minutes)
+    # a text is found up to three times within an hour, by several sources, and arrives up to half an hour out of order
+    texts = [(rng.randint(0, 1200), rng.randint(0, 5), f"{rng.choice('aB')} {i}") for i in range(150)]
+    rows = [(after(m + rng.randint(0, 60)), d, rng.choice([t, t.lower(), f" {t} "]), rng.choice(["x", "y", None])) for m, d, t in texts for _ in range(rng.randint(1, 3))]
+    rows.sort(key=lambda r: r[0] + datetime.timedelta(minutes=rng.randint(0, 30)))
+    schema = "ts timestamp, doc_id long, text string, source string"
+    end, late = (after(10_000), 0, "end", "x"), (start, 1, "too late", "x")
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate([*(rows[k : k + 70] for k in range(0, len(rows), 70)), [end], [late]]):
+        path = tmp_path / "in" / f"{i:03}.json"
+        path.write_text("".join(json.dumps({"ts": r[0].isoformat(), "doc_id": r[1], "text": r[2], "source": r[3]}) + "\n" for r in part))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))  # read in this order
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    write_first_findings(stream_first_findings(stream), str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    first, found = spark.read.parquet(str(tmp_path / "out")), spark.createDataFrame(rows, schema)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(first) == plain(first_findings(found)) and first.count() == 150
+    assert plain(window_stats(first)) == plain(batch_stats(found))
+    assert sum(r.n_found for r in batch_stats(found).collect()) == 150
+
+
 def test_shared_folder():
     def session(value):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value))
