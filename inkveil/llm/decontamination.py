@@ -9,7 +9,8 @@ DataFrame expressions only. The document side is narrow: the seeds of the benchm
 count shows that they are few, and otherwise joined by a shuffle; both find the same. Only hits carry words
 (a bounded stretch of them) further.
 
-Defined results: null and wordless texts or items match nothing; items shorter than a mask are looked for as
+Defined results: null and wordless texts or items match nothing; an item with a null id counts like any other, and
+items of equal ids and different texts are looked for one by one; items shorter than a mask are looked for as
 a whole; repeated items and repeated rows give equal results; empty tables give no hits.
 """
 
@@ -24,7 +25,7 @@ from inkveil.llm.common import text_key, without, words
 MASKS = ("11011011", "1101001101")
 AROUND = 64  # words looked at on either side of a hit
 GAIN, LOSS = 1, 2
-MIN_SCORE = 10  # or all words of a shorter item
+MIN_SCORE = 10  # or, of items with fewer words, all but one replaced one; all of those shorter than a mask
 BROADCAST_ROWS = 1_000_000  # seeds of 20 bytes
 
 _SHORT = min(map(len, MASKS))
@@ -50,18 +51,20 @@ def _seeds(hashes: Column, masks: list[tuple[int, str]]) -> Column:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[int, str]]]:
-    """Items (item_id, item), their seeds (item_id, q, seed), and the masks in use.
+    """Items (item_id, item, ref), their seeds (ref, q, seed), and the masks in use.
 
     An item shorter than every mask is one seed of all its words; at most seven such lengths exist.
     """
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("item")).where("size(item) > 0").distinct()
+    # Names an item, null ids and ids of several texts too: structs of nulls are equal.
+    items = items.withColumn("ref", F.struct("item_id", F.xxhash64("item").alias("h")))
     long = [(i, m) for i, m in enumerate(MASKS)]
     lengths = [r[0] for r in items.where(F.size("item") < _SHORT).select(F.size("item")).distinct().collect()]
     short = [(100 + n, "1" * n) for n in sorted(lengths)]
-    of_long = items.where(F.size("item") >= _SHORT).select("item_id", F.explode_outer(_seeds(F.col("item"), long)).alias("s"))
-    seeds = of_long.select("item_id", F.col("s.at").alias("q"), "s.seed")
+    of_long = items.where(F.size("item") >= _SHORT).select("ref", F.explode_outer(_seeds(F.col("item"), long)).alias("s"))
+    seeds = of_long.select("ref", F.col("s.at").alias("q"), "s.seed")
     for number, mask in short:
-        one = items.where(F.size("item") == len(mask)).select("item_id", F.lit(0).alias("q"), _seed(F.lit(0), F.col("item"), mask, number).alias("seed"))
+        one = items.where(F.size("item") == len(mask)).select("ref", F.lit(0).alias("q"), _seed(F.lit(0), F.col("item"), mask, number).alias("seed"))
         seeds = seeds.union(one)
     return items, seeds.where("seed is not null"), long + short
 
@@ -92,14 +95,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     placed = hashed.select("doc_id", "_key", "w", F.explode_outer(_seeds(F.col("w"), masks)).alias("s"))
     start = F.greatest(F.col("s.at") - AROUND, F.lit(0))
     hits = placed.join(seeds, F.col("s.seed") == F.col("seed")).select(
-        "doc_id", "_key", "item_id", "q", F.col("s.at").alias("p"), start.alias("start"),
+        "doc_id", "_key", "ref", "q", F.col("s.at").alias("p"), start.alias("start"),
         F.slice("w", start + 1, F.lit(2 * AROUND + _LONG)).alias("window"),
     )
-    scored = hits.join(items, "item_id").select(
+    scored = hits.join(items, "ref").select(
         "doc_id", "_key", "item_id", F.size("item").cast("long").alias("item_words"),
         _score(F.col("window"), F.col("start"), F.col("item"), F.col("p"), F.col("q")).cast("long").alias("score"),
     )
-    enough = scored.where(F.col("score") >= F.least(F.lit(MIN_SCORE), F.col("item_words")))
+    # One word of an item may be replaced, but of those too short for a mask.
+    replaced = F.when(F.col("item_words") < _SHORT, F.col("item_words")).otherwise(F.col("item_words") - GAIN - LOSS)
+    enough = scored.where(F.col("score") >= F.least(F.lit(MIN_SCORE), replaced))
     return enough.groupBy("doc_id", "_key", "item_id").agg(F.max("item_words").alias("item_words"), F.max("score").alias("score"))
 
 

@@ -6,7 +6,7 @@ on a bounded sample of its labelled texts; the text gets the language of the cen
 rejected if it is farther from that centroid than nearly all of the centroid's own texts.
 
 Document frequencies cover all training texts and are summed on Spark. The sample is at most about SAMPLE texts
-a language, drawn by a hash of doc_id; centroids (languages x CLUSTERS x SIZE numbers) go to every task, which
+a language, drawn by a hash of the text where the texts are read; centroids (languages x CLUSTERS x SIZE numbers) go to every task, which
 reads whole texts in pieces.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected; so is every text when
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SIZE = 4096
 CLUSTERS = 4
 SAMPLE = 1000
+LANGUAGES = 100_000
 ROUNDS = 12
 FOLDS = 5
 OWN_SHARE = 0.002  # share of a centroid's own texts beyond its radius
@@ -36,7 +37,7 @@ PIECE = 1 << 20
 def _letters() -> np.ndarray:
     """For every code point its lower-case letter, or a blank."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if chr(c).isalpha():
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -85,7 +86,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _clusters(idf: np.ndarray):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(d, g) for d, g in zip(group["doc_id"], map(grams, group["text"])) if g is not None]
+        rows = [(d, g) for d, g in zip(group["draw"], map(grams, group["text"])) if g is not None]
         if not rows:
             return pd.DataFrame({"lang": [], "centroid": [], "radius": []})
         x = np.stack([weighted(g, idf) for _, g in sorted(rows, key=lambda r: r[0])])
@@ -103,15 +104,19 @@ def _clusters(idf: np.ndarray):
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(language of each centroid, centroids, radii, idf) from doc_id, text, lang."""
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    """(language of each centroid, centroids, radii, idf) from text, lang."""
+    rows = labelled.where("lang is not null and text is not null").select("text", "lang")
     counted = rows.mapInPandas(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     found = {r["slot"]: r["n"] for r in counted.collect()}  # SIZE + 1 rows
     n = found.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([found.get(i, 0) for i in range(SIZE)], float))) + 0.1
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE) / F.col("rows")
-    sample = rows.join(sizes, "lang").where(draw).select("lang", "doc_id", "text")
+    if sizes.count() <= LANGUAGES:  # so that no text is shuffled for it
+        sizes = F.broadcast(sizes)
+    # Drawn by the text, of which copies count once: no group of equal rows can enlarge a sample.
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    drawn = rows.join(sizes, "lang").where(draw < F.lit(SAMPLE * float(1 << 40)) / F.col("rows"))
+    sample = drawn.groupBy("lang", draw.alias("draw")).agg(F.min("text").alias("text"))
     centres = sample.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<double>, radius double")
     rows_ = sorted(centres.collect(), key=lambda r: (r["lang"], r["centroid"]))
     matrix = np.array([r["centroid"] for r in rows_]).reshape(len(rows_), SIZE)
@@ -138,7 +143,9 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, n
             frame.insert(0, "doc_id", batch["doc_id"].array)
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    # As text: pandas has no whole numbers beside nulls.
+    named = docs.select(F.col("doc_id").cast("long").cast("string"), "text")
+    return named.mapInPandas(run, "doc_id string, lang_pred string, score double, rejected boolean").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ steps AS (SELECT doc_id, item_id, p, q, d.w AS dw, b.w AS bw,
 sums AS (SELECT doc_id, item_id, len(bw) AS n, p, q, k, sum(CASE WHEN bw[k + 1] = dw[p - q + k + 1] THEN 1 ELSE -2 END)
   OVER (PARTITION BY doc_id, item_id, p, q ORDER BY k) AS s FROM steps),
 best AS (SELECT doc_id, item_id, n, s - least(0, min(s) OVER (PARTITION BY doc_id, item_id, p, q ORDER BY k)) AS score FROM sums)
-SELECT doc_id, item_id, max(n) AS item_words, max(score)::BIGINT AS score FROM best GROUP BY doc_id, item_id HAVING max(score) >= least(10, max(n))
+SELECT doc_id, item_id, max(n) AS item_words, max(score)::BIGINT AS score FROM best GROUP BY doc_id, item_id HAVING max(score) >= least(10, CASE WHEN max(n) < 8 THEN max(n) ELSE max(n) - 3 END)
 """
 
 LINE_DEDUP = f"""

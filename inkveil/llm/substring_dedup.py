@@ -246,9 +246,7 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             edges = [0, *(x for r in gone for x in r), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             out.append((d, len(raw), len(raw) - len(kept), len(gone), kept))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -258,7 +256,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     ranges = stored(repeated_ranges(texts), "lpf-ranges")
     per_document = ranges.groupBy("d", "k").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long"), "text", *names).join(per_document, ["d", "k"], "left")
-    return rows.select("doc_id", "text", "ranges").mapInPandas(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    # The id as text: pandas has no whole numbers beside nulls.
+    done = rows.select(F.col("doc_id").cast("string"), "text", "ranges").mapInPandas(_without, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(result: DataFrame) -> DataFrame:
