@@ -9,7 +9,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm import chat, decontamination, language, line_dedup, near_dedup, packing, personal_data, quality, secrets, substring_dedup
@@ -202,12 +204,76 @@ def test_near_dedup(spark, odd):
     rows += [(100 + i, " ".join(f"u{rng.randint(0, 10**6)}" for _ in range(80))) for i in range(40)]
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == 0 for i in range(60)) and all(got[100 + i] == 100 + i for i in range(40))
-    assert near_dedup.near_duplicates(odd).count() == 8
+    assert near_dedup.near_duplicates(odd).count() == 9  # the null id as well
     kept = near_dedup.one_of_each(odd)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_every_text(spark):
+    """Texts that share a doc_id are judged each for itself; null ids appear and stay; large ids stay exact."""
+    seven, big = "one two three four five six seven", 2**60 + 1
+    rows = [(1, "alpha beta"), (1, seven), (2, seven), (None, seven), (None, seven), (big, seven), (big + 2, "gamma"), (big + 2, "gamma"), (3, None), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(7), "id": F.lit("x"), "_row": F.lit(1), "group": F.lit(2)})
+    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs.where("doc_id is not null")).collect())
+    want = [(1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (big, 3, 1, False), (big + 2, 1, big + 2, True)]
+    assert got == want
+    null = near_dedup.near_duplicates(docs).where("doc_id is null").collect()
+    assert [tuple(r) for r in null] == [(None, 3, None, True)]
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    texts = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert texts == sorted([(1, "alpha beta"), (1, seven), (None, seven), (None, seven), (big + 2, "gamma"), (3, None)], key=str)
+
+
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """A family whose texts are nearly similar enough, with true links among them, in one and in many blocks: equal to brute force."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for n in range(90):  # one to three of 120 words replaced: similarities on both sides of the bound
+        text = list(base)
+        for k in rng.sample(range(120), 1 + n % 3):
+            text[k] = f"r{rng.randint(0, 40)}"
+        texts.append(" ".join(text))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    above = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]) and above[x] != above[y]:
+                low, high = sorted((above[x], above[y]))
+                above = [low if c == high else c for c in above]
+    assert 1 < len(set(above)) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block, pairs in ((512, 1 << 15), (7, 5)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", pairs)
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(above))
+
+
+def test_meetings():
+    """Every pair of two blocks of a bucket is met once over all buckets, whatever the portions."""
+    rng = np.random.default_rng(3)
+    full = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.sort(rng.permutation(full)[:380]) for _ in range(30)]
+    regs = near_dedup.sketch(sets)
+    hashes = near_dedup._band_hashes(regs)
+    want = {(x, y) for x in range(30) for y in range(x) if (hashes[x] == hashes[y]).any()}
+    got = []
+    for bucket in np.unique(hashes):
+        inside = np.flatnonzero((hashes == bucket).any(axis=1))
+        for i in range(3):
+            for j in range(i, 3):
+                at = [k for k in inside if k % 3 in (i, j)]
+                if not at:
+                    continue
+                group = pd.DataFrame({"bucket": bucket, "block": [k % 3 for k in at], "id": at, "component": at, "n": 380, "regs": [regs[k].tobytes() for k in at]})
+                group = group.sort_values("block", ignore_index=True)
+                ids = group["id"].to_numpy()
+                got += [tuple(sorted((ids[p], ids[q]), reverse=True)) for x, y in near_dedup._meetings(group, i, j) for p, q in zip(x, y)]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a, b = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64)), np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
