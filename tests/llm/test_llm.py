@@ -331,6 +331,22 @@ def test_secret_runs_are_read_whole(spark):
     assert all(inside for a, b, inside in secrets.candidates(text, secrets.base_findings(text))) and len(secrets.base_findings(text)) == 2
 
 
+def test_words_and_pieces_have_the_tokenizer_s_ids():
+    rng = random.Random(5)
+    odd = ["a", "b", " ", "  ", "\n", "\r", "\x85", "\xa0", "\u3000", "\x1c", "é", "\U0001f600", "'s", "'ll", "'", "<|endoftext|>", "<|endof", "text|>", "1", "²", "ª",
+           "½", "\xad", "_", "!", "ſ", "ɏ", "ǅ", "中", "tion", "The"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    words = packing.Words(TOKENIZER)
+    assert words.merged
+    for known in (False, True):
+        if known:
+            words.merged = None  # a vocabulary of another form
+            words.known.clear()
+        got = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)]
+        assert got == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_secret_places_are_shared():
     """Scoring over whole texts equals scoring window by window."""
     rng, r = random.Random(3), np.random.default_rng(1)
