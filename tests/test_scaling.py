@@ -21,3 +21,20 @@ def test_led_rules_do_not_shuffle_texts(spark, tmp_path):
     got = rule_table.scan_rule_table(spark.read.parquet(docs), rules, planned=1)
     assert not any(f.startswith(f"file://{docs}") for f in got.inputFiles())
     assert sorted(map(tuple, got.collect()), key=repr) == [(1, "R", 1, "abc"), (1, "R", 2, "abc"), (2, "R", 1, "abc"), (2, "S", 1, "xabc"), (None, "R", 1, "abc")]
+
+
+def test_lists_of_targets_are_not_copied_to_every_page(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "ann"), (1, "bo"), (2, "cy")], "doc_id long, text string").write.parquet(path)
+    pages = [(d, p, "ann bo cy") for d in (1, 2, 3) for p in (0, 10_000, 10_000, 90_000, None)]
+    frame = spark.createDataFrame(pages, "doc_id long, page_no long, text string")
+    want = sorted((d, p, {1: 2, 2: 1, 3: 0}[d]) for d, p, _ in pages if p is not None)
+    for per_bucket in (4096, 2):
+        monkeypatch.setattr(M, "PAGES_PER_BUCKET", per_bucket)
+        got = M.redact_pages(frame, spark.read.parquet(path))
+        rows = got.collect()
+        assert sorted((r.doc_id, r.page_no, r.n_redactions) for r in rows if r.page_no is not None) == want
+        assert [r.n_redactions for r in rows if r.page_no is None] == [0] * 3
+    # A bucket comes from the number of a document's pages, not from their numbers.
+    attached = M.attach_targets(frame, M.clean_targets(spark.read.parquet(path)))
+    assert "FLOOR" not in plan(attached).upper()
