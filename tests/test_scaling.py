@@ -14,6 +14,17 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("per_row", [2, 1000])
+def test_entities_of_items_are_found_once(spark, tmp_path, per_row):
+    found = str(tmp_path / "found")
+    spark.createDataFrame([(1, "ann bo"), (1, "cy"), (1, "di")], "doc_id long, text string").write.parquet(found)
+    items = spark.createDataFrame([(1, 1, 0, "Ann"), (1, 1, 1, "n\nb"), (1, 1, 2, "y\nd"), (2, 1, 0, "cy")], "doc_id long, page_no long, item_no int, str string")
+    manual = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    got = M.highlight_items(items, spark.read.parquet(found), manual, per_row)
+    assert not any(f.startswith(f"file://{found}") for f in got.inputFiles())
+    assert {(r.doc_id, r.item_no): r.label for r in got.collect()} == {(1, 0): "detected", (1, 1): None, (1, 2): None, (2, 0): None}
+
+
 def test_led_rules_do_not_shuffle_texts(spark, tmp_path):
     docs = str(tmp_path / "docs")
     spark.createDataFrame([(1, "abc abc"), (2, "ab"), (2, "xabcx"), (None, "abc")], "doc_id long, text string").write.parquet(docs)
