@@ -24,7 +24,8 @@ def number_rows(
     the numbers across. The ranges are stored, for both readings have to see the same ones.
     """
     by = [*[F.col(k) for k in keys], *order]
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # Stored before, too: the boundaries are measured in a run of their own, which would compute the rows once more.
+    ranged = stored(df, "to-number").repartitionByRange(*by).sortWithinPartitions(*by)
     rows = stored(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")), "numbered")
     names = [f"_k{i}" for i in range(len(keys))]
     sizes = rows.groupBy(F.col("_range").alias("_r"), *[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(

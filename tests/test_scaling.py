@@ -25,6 +25,19 @@ def test_entities_of_items_are_found_once(spark, tmp_path, per_row):
     assert {(r.doc_id, r.item_no): r.label for r in got.collect()} == {(1, 0): "detected", (1, 1): None, (1, 2): None, (2, 0): None}
 
 
+def test_rows_to_number_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id").mapInPandas(look, "k long, id long")
+    got = number_rows(rows, ["k"], [F.col("id")]).collect()
+    assert seen.value == 1000 and {(r.k, r.id): r.n for r in got} == {(i % 3, i): i // 3 + 1 for i in range(1000)}
+
+
 def test_led_rules_do_not_shuffle_texts(spark, tmp_path):
     docs = str(tmp_path / "docs")
     spark.createDataFrame([(1, "abc abc"), (2, "ab"), (2, "xabcx"), (None, "abc")], "doc_id long, text string").write.parquet(docs)
