@@ -305,7 +305,7 @@ def undo_manual(spark, sf):
 
 @query
 def remove_entities(spark, sf):
-    found = I.page_entities(I.all_pages(spark, sf))
+    found = stored(I.page_entities(I.all_pages(spark, sf)), "entities")
     return E.remove(found, found.where(F.col("pos") % 5 == 0), ("doc_id", *I.PLACE))
 
 

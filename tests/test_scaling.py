@@ -62,3 +62,12 @@ def test_lists_of_targets_are_not_copied_to_every_page(spark, tmp_path, monkeypa
     # A bucket comes from the number of a document's pages, not from their numbers.
     attached = M.attach_targets(frame, M.clean_targets(spark.read.parquet(path)))
     assert "FLOOR" not in plan(attached).upper()
+
+
+@pytest.mark.parametrize("name", ["remove_entities", "verify_redaction"])
+def test_rules_run_once(spark, tmp_path, name):
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, "user", "Mail jo@x.org now")], "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame([(7, 3, 1200.5)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{sf}/orders.parquet")
+    got = QUERIES[name](spark, sf)
+    assert not any(f.endswith(".parquet") and "orders.parquet/" in f for f in got.inputFiles()) and got.count() > 0
