@@ -14,6 +14,20 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_spread_evens_out_rows_not_splits(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    uneven = spark.range(0, 16_000, 1, 2 * cores).where("id < 800")  # all rows in one of many splits
+    sizes = [r["count"] for r in SF.spread(uneven).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and sum(sizes) == 800 and max(sizes) <= 2 * min(sizes)
+    assert SF.spread(uneven, 10).rdd.getNumPartitions() == 80
+
+
+def test_spread_keeps_later_filters_behind_the_exchange(spark, tmp_path):
+    spark.range(100).select(F.col("id").cast("string").alias("text")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = SF.spread(spark.read.parquet(str(tmp_path / "t"))).where(F.col("text").rlike("7$"))
+    assert plan(out).index("RLIKE") < plan(out).index("Repartition") and out.count() == 10
+
+
 @pytest.mark.parametrize("per_row", [2, 1000])
 def test_entities_of_items_are_found_once(spark, tmp_path, per_row):
     found = str(tmp_path / "found")
