@@ -45,6 +45,7 @@ BLOCK, BLOCK_BYTES = 512, 32 << 20  # members and bytes of full sets of a block
 SMALL_ROWS = 2048  # rows of small buckets that share a group
 PAIRS_AT_ONCE = 1 << 15
 PAIRS_PER_TASK = 50_000_000
+NAMED_ROWS = 1 << 21  # up to here the names of wanted documents are broadcast, about 24 bytes each
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -242,10 +243,19 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["id"].array, "hashes": [s.tobytes() for s in sets]}).loc[right]
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, bound: int = NAMED_ROWS) -> DataFrame:
+    """doc and text of the documents named in ``wanted``. Where these are few, texts of others are left out where they
+    stand, before anything is shuffled; where there are too many names for a broadcast, the join deals out all texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    if wanted.count() <= bound:
+        texts = texts.join(F.broadcast(wanted.select("doc").distinct()), "doc", "left_semi")
+    return texts
+
+
 def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """id and hashes, the whole shingle set, of some classes: only the texts of their smallest doc_ids are shingled again."""
     wanted = stored(classes.join(ids, "id", "left_semi").select("id", "doc", "f1", "f2"), "dedup-wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc").select("id", "f1", "f2", "text")
+    texts = texts_of(wanted, docs).join(wanted, "doc").select("id", "f1", "f2", "text")
     return stored(texts.mapInPandas(_sets, "id long, hashes binary").dropDuplicates(["id"]), "dedup-sets")
 
 

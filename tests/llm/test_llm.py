@@ -226,6 +226,16 @@ def test_near_dedup_keeps_every_text(spark):
     assert texts == sorted([(1, "alpha beta"), (1, seven), (None, seven), (None, seven), (big + 2, "gamma"), (3, None)], key=str)
 
 
+def test_only_wanted_texts_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)] + [(None, "none"), (3, "other")], "doc_id int, text string")
+    wanted = spark.createDataFrame([(1, 3), (2, 3), (5, 7)], "id long, doc long")
+    rows = lambda bound: near_dedup.texts_of(wanted, docs, bound)
+    assert sorted(map(tuple, rows(10).collect())) == [(3, "other"), (3, "text 3"), (7, "text 7")]
+    assert rows(2).count() == 102  # too many names
+    joined = lambda bound: sorted(map(tuple, rows(bound).join(wanted, "doc").collect()))
+    assert joined(10) == joined(2) and len(joined(2)) == 5
+
+
 def test_near_dedup_in_blocks(spark, monkeypatch):
     """A family whose texts are nearly similar enough, with true links among them, in one and in many blocks: equal to brute force."""
     rng = random.Random(8)
