@@ -168,6 +168,27 @@ def test_streams_and_batches_share_gates(spark):
     assert docs.select(F.size(S.rule_matches(RULES["F06"]))).first()[0] == 0
 
 
+def test_absent_rules_are_told_before_they_run(spark):
+    """The bit of a rule is set exactly where the rule finds nothing."""
+    rules = {(r.pattern, r.ignore_case): r for r in EVERY_RULE}
+    texts = [*_noise(11, 200), "SSN\u00a0123-45-6789", "Case\u2003No.\ufeff7", "12\u2028Old Oak Street", "", "12345 é"]
+    docs = S.with_gates(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    found = F.array(*[F.size(S.rule_matches(r, gated=False)) > 0 for r in rules.values()])
+    for row in docs.select("text", "_absent", found.alias("found")).collect():
+        for key, is_found in zip(rules, row.found):
+            place = S._PLACES[key]
+            assert row._absent[place // S._BITS] >> place % S._BITS & 1 == 1 - is_found, (key, row.text)
+
+
+def test_absent_rules_of_odd_texts(spark):
+    """Bytes that are no UTF-8 stay part of a match, and a null text has no matches."""
+    docs = spark.sql("select 1 as doc_id, cast(unhex('687474703a2f2fff') as string) as text union all select 2, null")
+    assert [(r.doc_id, r.rule) for r in S.scan_rules(docs, [RULES["A09"], RULES["C26"]]).collect()] == [(1, "A09")]
+    assert S.count_rules(docs, (r for r in [RULES["A09"]])).first().n_matches == 1
+    only_some = S.with_gates(spark.createDataFrame([("a@b.cd 12345",)], "text string"), rules=[RULES["A01"]])
+    assert only_some.select(F.size(S.rule_matches(RULES["M08"]))).first()[0] == 1
+
+
 # --- one walk for many words --------------------------------------------------------------------------
 
 
