@@ -492,6 +492,26 @@ def test_line_dedup(spark, odd):
     assert line_dedup.without_repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_shuffles_prefixes_once(spark, monkeypatch):
+    """Both sides of the join by prefix words are one exchange, and what is settled still meets later lines."""
+    words = [f"w{i}" for i in range(20)]
+    near = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(20)]  # each two words from each other
+    docs = spark.createDataFrame([(k, f"{line}\nown{k} line{k} here{k}") for k, line in enumerate([" ".join(words), *near, *near[:3]])], "doc_id long, text string")
+    plans, store = {}, line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or store(df, name))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in line_dedup.deduplicated(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: (min(k, 1), f"own{k} line{k} here{k}" if k else f"{' '.join(words)}\nown0 line0 here0") for k in range(24)}
+    assert plans["line-rest"].count("ReusedExchange") == 1 and plans["line-rest"].count("posexplode") == 1
+
+
 def test_chat(spark):
     turn = lambda c, *texts: [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(texts)]
     rows = turn(1, "a") + turn(2, "a", "b") + turn(3, "a", "b", "c") + turn(4, "a", "x") + turn(5, "a", "b", "c") + turn(6, None, "b") + turn(7, "", "b")
