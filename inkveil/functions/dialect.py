@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +118,84 @@ def re2_presence(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + "".join(out)
 
 
+_QUANTIFIER = re.compile(r"(?:[?*+]|\{\d+(?:,\d*)?\})\??")
+_CLASS = re.compile(r"\[(\^?)((?:(?!&&)[^\[\]\\]|\\.)+)\]", re.S)
+_DOT = r"[^\n\r\x{85}\x{2028}\x{2029}]"
+
+
+def _re2_range(first: str, last: str, ignore_case: bool) -> str:
+    ranges = [(ord(first), ord(last))]
+    for low, shift in ((65, 32), (97, -32)) if ignore_case else ():
+        a, b = max(ord(first), low), min(ord(last), low + 25)
+        if a <= b:
+            ranges.append((a + shift, b + shift))
+    return "".join(rf"\x{{{a:x}}}" + (rf"-\x{{{b:x}}}" if a < b else "") for a, b in ranges)
+
+
+def _re2_class(body: str, ignore_case: bool, spaces: str) -> str | None:
+    several = {r"\s": spaces, r"\d": "0-9", r"\w": "0-9A-Z_a-z"}
+    tokens, out, i = re.findall(r"\\.|.", body, re.S), [], 0
+    while i < len(tokens):
+        ends = [t for t in (tokens[i], tokens[i + 2] if tokens[i + 1 : i + 2] == ["-"] and i + 2 < len(tokens) else None) if t]
+        if any(t in several for t in ends):
+            if len(ends) > 1:
+                return None
+            out.append(several[tokens[i]])
+        elif any(len(t) > 1 and t[1].isalnum() for t in ends) or ends[0][-1] > ends[-1][-1]:
+            return None
+        else:
+            out.append(_re2_range(ends[0][-1], ends[-1][-1], ignore_case))
+        i += 2 * len(ends) - 1
+    return "".join(out)
+
+
+def re2_search(pattern: str, ignore_case: bool = False) -> str | None:
+    """A pattern for an RE2 engine with the same matches as :func:`java_regex`'s, or None where the syntax goes beyond what
+    both engines read alike: literals, classes, groups, alternatives, repetitions and boundaries. White space and letter
+    cases are spelled out, as RE2 folds more letters than ASCII's. A pattern that may match nothing is left to Java, too."""
+    spaces = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", WS)
+    out, i, repeatable, empty = [], 0, False, []
+    while i < len(pattern):
+        c, token = pattern[i], pattern[i : i + 2]
+        if m := _QUANTIFIER.match(pattern, i):
+            if not repeatable:
+                return None
+            piece, size, repeatable = m[0], len(m[0]), False
+        elif c == "\\":
+            piece, size, repeatable = {r"\s": f"[{spaces}]", r"\d": "[0-9]", r"\w": "[0-9A-Z_a-z]", r"\b": r"\b"}.get(token, ""), 2, token != r"\b"
+            if not piece:
+                if len(token) < 2 or token[1].isalnum():
+                    return None
+                piece = f"[{_re2_range(token[1], token[1], False)}]"
+        elif c == "[":
+            m = _CLASS.match(pattern, i)
+            body = m and _re2_class(m[2], ignore_case, spaces)
+            if not body:
+                return None
+            piece, size, repeatable = f"[{m[1]}{body}]", len(m[0]), True
+        elif c == "(":
+            if pattern.startswith("(?", i) and not pattern.startswith("(?:", i):
+                return None
+            piece, repeatable = "(?:" if pattern.startswith("(?:", i) else "(", False
+            size = len(piece)
+        elif c in "^${}]":
+            return None
+        elif c in ".|)":
+            piece, size, repeatable = _DOT if c == "." else c, 1, c != "|"
+        else:
+            piece, size, repeatable = f"[{_re2_range(c, c, ignore_case)}]", 1, True
+        out.append(piece)
+        empty.append("" if piece == r"\b" else piece)
+        i += size
+    try:
+        if pc.match_substring_regex(pa.array([""]), f"^(?:{''.join(empty)})$")[0].as_py():
+            return None
+        pc.match_substring_regex(pa.array([""]), f"({''.join(out)})")
+    except pa.ArrowInvalid:  # as too large
+        return None
+    return "".join(out)
+
+
 def escape_literal(text: Column) -> Column:
     """Quote every regex metacharacter of a literal held in a column."""
     return F.regexp_replace(text, _META, r"\\$1")
