@@ -1,14 +1,17 @@
 """Rules and keywords searched a batch of texts at once: the same matches as one by one, and nothing searched twice."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkveil.catalog.dictionaries import COMMON_WORDS
 from inkveil.catalog.rules import Rule
-from inkveil.functions.dialect import java_regex, re2_search
+from inkveil.functions.dialect import WS, collapse_ws, java_regex, re2_search, strip_ws
 from inkveil.operators import scan as S
 from inkveil.operators.rule_table import scan_rule_table
+from inkveil.plans.job import document_entities
 from inkveil.queries.registry import EVERY_RULE
 
 
@@ -63,3 +66,54 @@ def test_counts_of_rules_are_searched_in_batches(spark):
     counts = S.count_rules(docs, EVERY_RULE)
     assert "regexp_extract_all" not in plan(counts)
     assert {r.rule: (r.n_matches, r.n_docs) for r in counts.collect() if r.rule in ("M08", "C13", "A01")} == {"M08": (2, 2), "C13": (2, 2), "A01": (1, 1)}
+
+
+def test_keywords_are_walked_in_batches(spark):
+    """One walk over a batch of texts, values included: no expression searches for them text by text."""
+    docs = spark.createDataFrame([(1, "Account: 12345678, ok"), (2, "routing number = x1\ny"), (3, None)], "doc_id long, text string")
+    found = S.scan_keyword_windows(docs, ["bank-statement"])
+    assert "regexp_extract" not in plan(found)
+    assert [r.value for r in found.where("keyword = 'routing number'").collect()] == [None]
+    assert "regexp_extract" not in plan(S.scan_pattern(docs, ["bank-statement"]))
+
+
+def test_values_behind_keywords(spark):
+    """As by the pattern that says what a value is, of whatever text stands behind the keyword."""
+    rng = random.Random(8)
+    parts = ["tax", "ax", "TAX id", ": ", "=", " ", "\n", ",", ";", "é", " ", "　", "x", "12", "\U0001f600", "word and more words, "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.v for r in docs.select("i", S.keyword_values(["tax", "tax id", "ax"]).alias("v")).collect()}
+    space = "".join(c for c in map(chr, range(0x10000)) if re.match(r"[\t-\r    -     　﻿]", c))
+    plain = re.compile(rf"[^:=\n]*[:=]?[{space}]*([^\n,;]{{2,50}})")
+    for i, text in enumerate(texts):
+        low, want = "".join(c.lower() if c.isascii() else c for c in text), []
+        for k in ("tax", "tax id", "ax"):
+            for at in (p for p in range(len(text)) if low.startswith(k, p)):
+                m = plain.match(text[at : at + 100])
+                value = m[1].strip(space) if m else ""
+                if len(value) > 2 and value.lower() != k and value.lower() not in COMMON_WORDS:
+                    want.append(value)
+        assert got[i] == want, text
+
+
+def test_white_space_forms(spark):
+    rng = random.Random(9)
+    parts = [" ", "  ", "\t", "\n", " ", " ", "﻿", "a", "é", "b c", "\U0001f600", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(500)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = F.regexp_replace(t, rf"^[{WS}]+|(?<![{WS}])[{WS}]++\z", ""), F.trim(F.regexp_replace(t, f"[{WS}]+", " "))
+    for r in frame.select(strip_ws(t).alias("a"), collapse_ws(t).alias("b"), plain[0].alias("c"), plain[1].alias("d")).collect():
+        assert (r.a, r.b) == (r.c, r.d)
+
+
+def test_findings_of_a_document_are_grouped_once(spark):
+    """Not first by page and then by document: the rows would be shuffled twice."""
+    pages = [(1, 1, "Mail JO@x.org and jo@x.org"), (1, 2, "jo@x.org 12345"), (2, 1, "12345"), (1, None, "JO@X.org")]
+    frame = spark.createDataFrame(pages, "doc_id long, page_no long, text string")
+    got = document_entities(frame, "fast", ["bank-statement"])
+    assert plan(got).count("aggregate [") == 1
+    rows = got.collect()
+    assert {(r.doc_id, r.text.lower()) for r in rows} == {(1, "jo@x.org"), (1, "x.org"), (1, "12345"), (1, "345"), (2, "12345"), (2, "345")}
+    assert len(rows) == 6 and [r.text for r in rows if "@" in r.text] == ["JO@X.org"]
