@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from inkveil.catalog.dictionaries import COMMON_WORDS
 from inkveil.catalog.rules import Rule
 from inkveil.functions.dialect import WS, collapse_ws, java_regex, re2_search, strip_ws
+from inkveil.operators import rule_table
 from inkveil.operators import scan as S
+from inkveil.operators.candidates import grams_held
 from inkveil.operators.rule_table import scan_rule_table
 from inkveil.plans.job import document_entities
 from inkveil.queries.registry import EVERY_RULE
@@ -117,3 +119,26 @@ def test_findings_of_a_document_are_grouped_once(spark):
     rows = got.collect()
     assert {(r.doc_id, r.text.lower()) for r in rows} == {(1, "jo@x.org"), (1, "x.org"), (1, "12345"), (1, "345"), (2, "12345"), (2, "345")}
     assert len(rows) == 6 and [r.text for r in rows if "@" in r.text] == ["JO@X.org"]
+
+
+def test_pieces_held_are_those_of_each_text(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcé\U0001f600 ") for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for wanted in (["abc", "éa ", "\U0001f600bb", "aaa"], []):
+        got = docs.select("i", grams_held(wanted)(F.col("t")).alias("h")).collect()
+        for r in got:
+            t = texts[r.i]
+            assert (r.h is None) if t is None else sorted(r.h) == [n for n, w in enumerate(wanted) if w in t]
+
+
+def test_led_rules_are_looked_up_without_a_regex(spark, monkeypatch):
+    """The pieces of a text are not cut out one by one, neither to count them nor to look them up."""
+    seen = []
+    plain = rule_table.stored
+    monkeypatch.setattr(rule_table, "stored", lambda df, name: (seen.append(plan(df)), plain(df, name))[1])
+    docs = spark.createDataFrame([(1, "abc ÉABC"), (2, "ab"), (None, None)], "doc_id long, text string")
+    rules = spark.createDataFrame([("R", "abc", True, 0), ("S", "éabc", True, 0), ("T", "xyz", False, 0)], "rule string, pattern string, ignore_case boolean, group_no int")
+    got = scan_rule_table(docs, rules, planned=1)
+    assert len(seen) == 1 and "generate explode(_pieces" in seen[0] and seen[0].count("regexp_extract_all") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, "R", 1, "abc"), (1, "R", 2, "ABC")]
